@@ -24,4 +24,4 @@ def queries():
 
 
 def oracle_sql():
-    return dict(_load().ORACLE)
+    return _load().resolved()

@@ -99,6 +99,11 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     return f"WITH {head} {stripped}"
 
 
+def resolved() -> dict[str, str]:
+    """The SQL of every query that has one, with its CTEs."""
+    return {name: with_views(sql) for name, sql in ORACLE.items()}
+
+
 def query(name: str, sql: str | None = None):
     """Decorator: ``fn(tables) -> DataFrame`` becomes the query ``name``."""
     def wrap(fn: Callable[[Tables], DataFrame]):
@@ -106,6 +111,6 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"{name} registered twice")
         QUERIES[name] = lambda spark, path: fn(Tables(spark, path))
         if sql is not None:
-            ORACLE[name] = with_views(sql)
+            ORACLE[name] = sql
         return fn
     return wrap
