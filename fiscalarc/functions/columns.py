@@ -41,13 +41,13 @@ def holds_at(when: Column, start: str = "valid_from", end: str = "valid_to") ->
 
 
 # Accented letters and their plain forms.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def normalise_label(column: Column | str) -> Column:
     """Fold case, accents and spaces, drop punctuation."""
-    text = F.translate(F.lower(column), ACCENTED, PLAIN)
+    text = F.translate(F.lower(column), ACCENTS, PLAIN)
     return F.trim(F.regexp_replace(F.regexp_replace(text, "[^a-z0-9 ]", " "), " +", " "))
 
 
