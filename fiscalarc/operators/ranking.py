@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,38 +56,33 @@ def select_pip(ranked: DataFrame, ceilings: DataFrame, portfolio: str) -> DataFr
         F.col("cumulative") <= F.col("ceiling"))
 
 
-def _knapsack(values: list[int], costs: list[int], room: int, node_limit: int = 300_000
+def _knapsack(values: list[int], costs: list[int], room: int, node_limit: int = 200_000
               ) -> tuple[list[bool], bool]:
     """Best subset by depth-first branch and bound on ratio order; False if the limit was met."""
     order = sorted(range(len(values)), key=lambda i: (-values[i] / costs[i], i))
-    v, c = [values[i] for i in order], [costs[i] for i in order]
-    n = len(v)
-    best, best_set = -1, [False] * n
-    stack = [(0, room, 0, ())]
-    nodes = 0
-    while stack:
-        i, left, got, taken = stack.pop()
+    v, c, n = [values[i] for i in order], [costs[i] for i in order], len(order)
+    sum_v, sum_c = [0, *accumulate(v)], [0, *accumulate(c)]
+    best, best_path, nodes = -1, None, 0
+    stack = [(0, room, 0, None)]  # next item, room left, value so far, linked list of taken items
+    while stack and nodes <= node_limit:
+        i, left, got, path = stack.pop()
         nodes += 1
-        if nodes > node_limit:
-            break
         if got > best:
-            best = got
-            chosen = set(taken)
-            best_set = [j in chosen for j in range(n)]
-        bound, space, j = float(got), left, i
-        while j < n and c[j] <= space:
-            bound, space, j = bound + v[j], space - c[j], j + 1
+            best, best_path = got, path
+        j = bisect_right(sum_c, sum_c[i] + left) - 1  # items i..j-1 fit whole
+        bound = got + sum_v[j] - sum_v[i]
         if j < n:
-            bound += v[j] * space / c[j]
+            bound += v[j] * (left - (sum_c[j] - sum_c[i])) / c[j]
         if i >= n or bound <= best + 1e-9:
             continue
-        stack.append((i + 1, left, got, taken))
+        stack.append((i + 1, left, got, path))
         if c[i] <= left:
-            stack.append((i + 1, left - c[i], got + v[i], (*taken, i)))
-    out = [False] * n
-    for pos, i in enumerate(order):
-        out[i] = best_set[pos]
-    return out, nodes <= node_limit
+            stack.append((i + 1, left - c[i], got + v[i], (i, path)))
+    taken = [False] * n
+    while best_path is not None:
+        taken[order[best_path[0]]] = True
+        best_path = best_path[1]
+    return taken, nodes <= node_limit
 
 
 def optimise_portfolio(projects: DataFrame, ceilings: DataFrame, portfolio: str, ident: str,

@@ -317,8 +317,13 @@ WITH s AS (SELECT conv_id, turn, unnest(string_split(text, '.')) AS t,
     generate_subscripts(string_split(text, '.'), 1) AS i FROM conversations WHERE role = 'assistant'),
 c AS (SELECT conv_id || ':' || turn || ':' || i AS claim_id,
     list_distinct(regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+')) AS w FROM s)
-SELECT claim_id FROM c WHERE len(w) > 0 AND NOT EXISTS (SELECT 1 FROM x_set d
-  WHERE len(list_intersect(w, d.s)) >= ceil(len(w) * 0.7))""")
+k AS (SELECT md5(array_to_string(list_sort(w), ' ')) AS h, any_value(w) AS w FROM c WHERE len(w) > 0
+  GROUP BY 1),
+kt AS (SELECT h, len(w) AS n, unnest(w) AS token FROM k),
+ok AS (SELECT DISTINCT h FROM (SELECT h, n, doc_id, count(*) AS m FROM kt
+  JOIN (SELECT doc_id, unnest(s) AS token FROM x_set) USING (token) GROUP BY ALL) WHERE m >= ceil(n * 0.7))
+SELECT claim_id FROM c WHERE len(w) > 0
+  AND md5(array_to_string(list_sort(w), ' ')) NOT IN (SELECT h FROM ok)""")
 def _(t):
     claims = t.raw("conversations").filter("role = 'assistant'").select(
         "conv_id", "turn", F.posexplode(F.split("text", r"\.")).alias("i", "text")).select(
