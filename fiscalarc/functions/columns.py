@@ -53,8 +53,7 @@ def normalise_label(column: Column | str) -> Column:
 
 def tokens(column: Column | str) -> Column:
     """Words of a text, lower case, in order."""
-    text = F.lower(column)
-    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.array_remove(F.split(F.lower(column), r"[^\p{L}\p{N}]+"), "")
 
 
 def token_set(column: Column | str) -> Column:

@@ -18,9 +18,9 @@ def n_rows() -> Column:
 
 def cost_rollup(lines: DataFrame, levels: list[str]) -> DataFrame:
     """Cost by level with subtotals; ``level`` is the grouping id so a subtotal is no null."""
-    return (lines.withColumn("cost", line_cost()).rollup(*levels)
-            .agg(money(F.sum("cost")).alias("cost"), n_rows().alias("n_lines"),
-                 F.grouping_id().cast("long").alias("level")))
+    base = lines.groupBy(*levels).agg(F.sum(line_cost()).alias("_c"), n_rows().alias("_n"))
+    return base.rollup(*levels).agg(money(F.sum("_c")).alias("cost"), F.sum("_n").alias("n_lines"),
+                                    F.grouping_id().cast("long").alias("level"))
 
 
 def classification_cube(lines: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
@@ -38,19 +38,16 @@ def classification_cube(lines: DataFrame, sets: list[tuple[str, ...]]) -> DataFr
 def envelope_balance(activities: DataFrame, lines: DataFrame, factors: DataFrame,
                      keys: tuple[str, ...] = ("program", "fiscal_year")) -> DataFrame:
     """Ceiling, allocated, reserved and available per envelope; the need stays separate."""
-    ceilings = (activities.join(factors, "program").groupBy(*keys)
-                .agg(F.sum("allocation").cast(MONEY).alias("initial_ceiling"),
-                     F.round(F.sum("allocation") * F.min("factor"), 2).cast(MONEY)
-                     .alias("current_ceiling")))
     per_activity = lines.groupBy("activity_id").agg(F.sum("total").alias("total"))
-    costs = per_activity.join(activities.select("activity_id", "status", *keys), "activity_id")
-    used = costs.groupBy(*keys).agg(
+    out = (activities.select("activity_id", "status", "allocation", *keys)
+           .join(per_activity, "activity_id", "left").join(factors, "program").groupBy(*keys).agg(
+        F.sum("allocation").cast(MONEY).alias("initial_ceiling"),
+        F.round(F.sum("allocation") * F.min("factor"), 2).cast(MONEY).alias("current_ceiling"),
         F.sum(F.when(F.col("status") == "CLOSED", F.col("total"))).cast(MONEY).alias("allocated"),
         reserve_amount().alias("reserved"),
         F.sum(F.when(F.col("status") == "IN_PREPARATION", F.col("total"))).cast(MONEY)
-        .alias("need"))
+        .alias("need")))
     zero = F.lit(0).cast(MONEY)
-    out = ceilings.join(used, list(keys), "left")
     for c in ("allocated", "reserved", "need"):
         out = out.withColumn(c, F.coalesce(c, zero))
     return out.withColumn("available", (F.col("current_ceiling") - F.col("allocated")

@@ -316,7 +316,7 @@ def _(t):
 WITH s AS (SELECT conv_id, turn, unnest(string_split(text, '.')) AS t,
     generate_subscripts(string_split(text, '.'), 1) AS i FROM conversations WHERE role = 'assistant'),
 c AS (SELECT conv_id || ':' || turn || ':' || i AS claim_id,
-    list_distinct(regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+')) AS w FROM s)
+    list_distinct(regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+')) AS w FROM s),
 k AS (SELECT md5(array_to_string(list_sort(w), ' ')) AS h, any_value(w) AS w FROM c WHERE len(w) > 0
   GROUP BY 1),
 kt AS (SELECT h, len(w) AS n, unnest(w) AS token FROM k),

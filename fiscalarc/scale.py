@@ -85,7 +85,8 @@ def windowed(df: DataFrame, keys: list[str], order: list[Column], **outs: tuple)
     """Add window columns per ``keys`` in ``order`` (ascending expressions; negate to reverse).
 
     Each output is a tuple: ``("row_number",)``, ``("rank",)``, ``("dense_rank",)``,
-    ``("size",)``, ``("sum", col)`` and ``("max", col)`` up to and with the row,
+    ``("size",)``, ``("total", col)`` over the whole group, ``("sum", col)`` and ``("max", col)``
+    up to and with the row,
     ``("sum_before", col)``, ``("max_before", col)``, ``("lag", col)``, ``("lead", col)``.
     """
     names = [f"_o{i}" for i in range(len(order))]
@@ -113,7 +114,7 @@ def windowed(df: DataFrame, keys: list[str], order: list[Column], **outs: tuple)
     sums = [F.count(F.lit(1)).alias("_n"), F.countDistinct(here).alias("_d")]
     for out, spec in outs.items():
         kind, col = spec[0], spec[1] if len(spec) > 1 else None
-        if kind in ("sum", "sum_before"):
+        if kind in ("sum", "sum_before", "total"):
             sums.append(F.sum(col).alias(f"_s_{out}"))
         elif kind in ("max", "max_before"):
             sums.append(F.max(col).alias(f"_s_{out}"))
@@ -130,6 +131,8 @@ def windowed(df: DataFrame, keys: list[str], order: list[Column], **outs: tuple)
         source = f"_s_{out}"
         if spec[0] in ("sum", "sum_before"):
             carry.append(F.sum(source).over(before).alias(f"_c_{out}"))
+        elif spec[0] == "total":
+            carry.append(F.sum(source).over(W.partitionBy(*keys)).alias(f"_c_{out}"))
         elif spec[0] in ("max", "max_before"):
             carry.append(F.max(source).over(before).alias(f"_c_{out}"))
         elif spec[0] == "lag":
@@ -151,6 +154,8 @@ def windowed(df: DataFrame, keys: list[str], order: list[Column], **outs: tuple)
             value = mine + F.coalesce("_c_d", zero)
         elif kind == "size":
             value = F.coalesce("_c_size", mine)
+        elif kind == "total":
+            value = F.coalesce(old, mine)
         elif kind in ("sum", "sum_before"):
             value = F.when(old.isNull(), mine).when(mine.isNull(), old).otherwise(old + mine)
         elif kind in ("max", "max_before"):
@@ -172,6 +177,8 @@ def _plain(spec: tuple, w, whole) -> Column:
     if kind == "size":
         return F.count(F.lit(1)).over(whole)
     column = F.col(spec[1])
+    if kind == "total":
+        return F.sum(column).over(whole)
     return {
         "sum": lambda: F.sum(column).over(upto),
         "max": lambda: F.max(column).over(upto),
@@ -186,13 +193,12 @@ def percentiles(df: DataFrame, keys: list[str], value: str, **probs: float) -> D
     """Exact interpolated percentiles per group from a value histogram.
 
     The histogram is combined map-side and its running count uses ``windowed``, so a hot group is
-    spread over its values instead of being gathered in one aggregation buffer.
+    spread over its values instead of being gathered in one aggregation buffer. The last
+    aggregation finds the rows already partitioned by the window.
     """
     hist = (df.filter(F.col(value).isNotNull())
             .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_f")))
-    run = windowed(hist, keys, [F.col(value)], _upto=("sum", "_f"))
-    totals = hist.groupBy(*keys).agg(F.sum("_f").alias("_all"))
-    placed = run.join(totals, keys)
+    placed = windowed(hist, keys, [F.col(value)], _upto=("sum", "_f"), _all=("total", "_f"))
     start = F.col("_upto") - F.col("_f")
     aggs = []
     for name, p in probs.items():
