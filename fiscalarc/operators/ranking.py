@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import top_per_group, windowed
+from ..session import cut
 
 CENTS = "decimal(38,0)"
 
@@ -115,8 +116,9 @@ def optimise_portfolio(projects: DataFrame, ceilings: DataFrame, portfolio: str,
         F.sum(F.when(inside, F.col("_v")).otherwise(0)).cast("double").alias("_pv"),
         F.sum(F.when(inside, F.col("_c")).otherwise(0)).cast("double").alias("_pc"),
         F.coalesce(F.max(F.when(~inside, ratio)), F.lit(0.0)).alias("_l"))
-    placed = ranked.join(F.broadcast(marks), "_g").withColumn(
-        "_in", F.col("_n") <= F.col("_b"))
+    # each stage feeds several later ones: it is written once instead of being solved again
+    placed = cut(ranked.join(F.broadcast(marks), "_g").withColumn(
+        "_in", F.col("_n") <= F.col("_b")))
 
     def solve(rows: DataFrame) -> DataFrame:
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -134,8 +136,8 @@ def optimise_portfolio(projects: DataFrame, ceilings: DataFrame, portfolio: str,
 
     close = F.abs(F.col("_n") - F.col("_b") - 0.5) <= near
     local = with_room(placed, ~close)
-    first = local.join(solve(local.filter(close)).select("_id", F.col("_take").alias("_t1")),
-                       "_id", "left").withColumn("_s1", F.coalesce("_t1", "_in"))
+    first = cut(local.join(solve(local.filter(close)).select("_id", F.col("_take").alias("_t1")),
+                           "_id", "left").withColumn("_s1", F.coalesce("_t1", "_in")))
     lower = first.groupBy("_g").agg(
         F.sum(F.when(F.col("_s1"), F.col("_v")).otherwise(0)).cast("double").alias("_lb"))
     upper = F.col("_pv") + (F.col("_r").cast("double") - F.col("_pc")) * F.col("_l")
@@ -147,8 +149,8 @@ def optimise_portfolio(projects: DataFrame, ceilings: DataFrame, portfolio: str,
     sized = bounded.join(core, "_id", "left").withColumn(
         "_core", F.coalesce("_core", F.lit(False)))
     ready = with_room(sized, ~F.col("_core"))
-    second = ready.join(solve(ready.filter("_core")), "_id", "left").withColumn(
-        "_s2", F.coalesce("_take", "_in"))
+    second = cut(ready.join(solve(ready.filter("_core")), "_id", "left").withColumn(
+        "_s2", F.coalesce("_take", "_in")))
     verdict = second.groupBy("_g").agg(
         F.sum(F.when(F.col("_s2"), F.col("_v")).otherwise(0)).alias("_v2"),
         F.sum(F.when(F.col("_s1"), F.col("_v")).otherwise(0)).alias("_v1"),
