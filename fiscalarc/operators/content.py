@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import severity, tokens
+from ..scale import small
 
 # Patterns of sensitive content, strongest class last.
 SENSITIVE = {
@@ -56,7 +57,7 @@ def validate_proposals(proposals: DataFrame, grants: DataFrame, rules: DataFrame
         "proposal_id", "tenant", F.col("c.action").alias("action"), F.col("c.amount").alias("amount"),
         F.col("c.tool").alias("tool"))
     j = (read.join(grants.withColumn("_granted", F.lit(True)), ["tenant", "tool"], "left")
-         .join(F.broadcast(rules), F.col("action") == F.col("kind"), "left"))
+         .join(small(rules), F.col("action") == F.col("kind"), "left"))
     bad_schema = F.col("action").isNull() | F.col("amount").isNull() | F.col("tool").isNull()
     unknown = ~bad_schema & F.col("risk_class").isNull()
     denied = ~bad_schema & F.col("_granted").isNull()
@@ -73,7 +74,7 @@ def validate_proposals(proposals: DataFrame, grants: DataFrame, rules: DataFrame
 
 def action_risk(actions: DataFrame, rules: DataFrame) -> DataFrame:
     """Risk class R0–R4 and approver; an unknown action counts as critical."""
-    j = actions.join(F.broadcast(rules), "kind", "left")
+    j = actions.join(small(rules), "kind", "left")
     return j.withColumn("risk_class", F.coalesce("risk_class", F.lit("R4"))).withColumn(
         "approver", F.when(F.col("risk_rank").isNull(), "APPROVER").otherwise(F.col("approver")))
 
@@ -98,7 +99,7 @@ def formula_metric(df: DataFrame, formulas: list[tuple[str, str]]) -> DataFrame:
 def glossary_tag(docs: DataFrame, terms: DataFrame, ident: str, text: str) -> DataFrame:
     """Glossary terms per document with their number of occurrences (whole words)."""
     words = docs.select(ident, F.explode(tokens(text)).alias("term"))
-    return words.join(F.broadcast(terms), "term").groupBy(ident, "term").agg(
+    return words.join(small(terms), "term").groupBy(ident, "term").agg(
         F.count(F.lit(1)).alias("n"))
 
 

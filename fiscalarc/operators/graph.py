@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalise_label
-from ..scale import windowed
+from ..scale import small, windowed
 from ..session import cut
 
 
@@ -141,9 +141,9 @@ def resolve_entities(names: DataFrame, ident: str, name: str, aliases: DataFrame
     if aliases is not None:
         known = aliases.select(normalise_label("alias").alias("_full"),
                                normalise_label("canonical").alias("_canon"))
-        told = forms.join(F.broadcast(known), "_full").select(
+        told = forms.join(small(known), "_full").select(
             ident, F.concat(F.lit("="), "_canon").alias("_key"))
-        own = forms.join(F.broadcast(known.select(F.col("_canon").alias("_full")).distinct()),
+        own = forms.join(small(known.select(F.col("_canon").alias("_full")).distinct()),
                          "_full").select(ident, F.concat(F.lit("="), "_full").alias("_key"))
         keys = keys.unionByName(told).unionByName(own)
     return connected(keys, ident, "_key")

@@ -57,7 +57,7 @@ def procedure_for_need(needs: DataFrame, rules: DataFrame, amount: str, dated: s
     on = ["category", "authority_type", "regime"]
     r = rules.select(*on, "procedure", "control_authority", "legal_source", "lower_bound",
                      "upper_bound", "valid_from", "valid_to")
-    j = needs.join(F.broadcast(r), on)
+    j = needs.join(small(r), on)
     inside = (F.col(amount) >= F.col("lower_bound")) & (
         F.col("upper_bound").isNull() | (F.col(amount) < F.col("upper_bound")))
     return j.filter(inside & holds_at(F.col(dated))).drop(

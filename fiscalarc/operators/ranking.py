@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import top_per_group, windowed
+from ..scale import small, top_per_group, windowed
 from ..session import cut
 
 CENTS = "decimal(38,0)"
@@ -44,7 +44,7 @@ def work_queue(parts: list[DataFrame], role: str, k: int) -> DataFrame:
 
 def notifications(signals: DataFrame, routes: DataFrame) -> DataFrame:
     """One message per signal type, object, channel and recipient, the most severe signal kept."""
-    routed = signals.join(F.broadcast(routes), "signal_type")
+    routed = signals.join(small(routes), "signal_type")
     return routed.groupBy("signal_type", "program", "object_id", "channel", "recipient_role").agg(
         F.max(F.col("probability") * F.col("impact")).alias("score"))
 
@@ -53,7 +53,7 @@ def select_pip(ranked: DataFrame, ceilings: DataFrame, portfolio: str) -> DataFr
     """Projects in rank order while their cumulative cost fits; a project that does not fit
     stops its portfolio. ``optimise_portfolio`` gives the best set instead."""
     run = windowed(ranked, [portfolio], [F.col("rank")], cumulative=("sum", "total_cost"))
-    return run.join(F.broadcast(ceilings), portfolio).filter(
+    return run.join(small(ceilings), portfolio).filter(
         F.col("cumulative") <= F.col("ceiling"))
 
 
@@ -109,7 +109,7 @@ def optimise_portfolio(projects: DataFrame, ceilings: DataFrame, portfolio: str,
     items = cents.filter((~F.col("mandatory")) & (F.col("_c") > 0) & (F.col("_v") > 0))
     ratio = F.col("_v").cast("double") / F.col("_c")
     ranked = windowed(items, ["_g"], [-ratio, F.col("_id")], _cum=("sum", "_c"),
-                      _n=("row_number",)).join(F.broadcast(space), "_g")
+                      _n=("row_number",)).join(space, "_g")
     inside = F.col("_cum") <= F.col("_r")
     marks = ranked.groupBy("_g").agg(
         F.count_if(inside).alias("_b"),
@@ -117,7 +117,7 @@ def optimise_portfolio(projects: DataFrame, ceilings: DataFrame, portfolio: str,
         F.sum(F.when(inside, F.col("_c")).otherwise(0)).cast("double").alias("_pc"),
         F.coalesce(F.max(F.when(~inside, ratio)), F.lit(0.0)).alias("_l"))
     # each stage feeds several later ones: it is written once instead of being solved again
-    placed = cut(ranked.join(F.broadcast(marks), "_g").withColumn(
+    placed = cut(ranked.join(marks, "_g").withColumn(
         "_in", F.col("_n") <= F.col("_b")))
 
     def solve(rows: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def optimise_portfolio(projects: DataFrame, ceilings: DataFrame, portfolio: str,
         """Room left for the open rows once the fixed rows are in."""
         used = rows.groupBy("_g").agg(F.sum(F.when(chosen & F.col("_in"), F.col("_c"))
                                             .otherwise(0)).cast(CENTS).alias("_u"))
-        return rows.join(F.broadcast(used), "_g").withColumn(
+        return rows.join(used, "_g").withColumn(
             "_left", (F.col("_r") - F.col("_u")).cast("string"))
 
     close = F.abs(F.col("_n") - F.col("_b") - 0.5) <= near
@@ -142,7 +142,7 @@ def optimise_portfolio(projects: DataFrame, ceilings: DataFrame, portfolio: str,
         F.sum(F.when(F.col("_s1"), F.col("_v")).otherwise(0)).cast("double").alias("_lb"))
     upper = F.col("_pv") + (F.col("_r").cast("double") - F.col("_pc")) * F.col("_l")
     loss = F.abs(F.col("_v") - F.col("_l") * F.col("_c"))
-    bounded = first.join(F.broadcast(lower), "_g").drop("_u", "_left").withColumn(
+    bounded = first.join(lower, "_g").drop("_u", "_left").withColumn(
         "_open", loss <= upper - F.col("_lb") + 1e-6)
     core = top_per_group(bounded.filter("_open"), ["_g"], [loss, F.col("_id")], core_rows,
                          rank="_k").select("_id", F.lit(True).alias("_core"))
@@ -156,7 +156,7 @@ def optimise_portfolio(projects: DataFrame, ceilings: DataFrame, portfolio: str,
         F.sum(F.when(F.col("_s1"), F.col("_v")).otherwise(0)).alias("_v1"),
         F.bool_and((~F.col("_open") | F.col("_core")) & F.coalesce("_ok", F.lit(True)))
         .alias("proven"))
-    final = second.join(F.broadcast(verdict), "_g").filter(
+    final = second.join(verdict, "_g").filter(
         F.when(F.col("_v2") >= F.col("_v1"), F.col("_s2")).otherwise(F.col("_s1")))
     chosen = (final.select("_id", "proven")
               .unionByName(cents.filter("mandatory").select("_id", F.lit(True).alias("proven")))

@@ -117,10 +117,10 @@ c AS (SELECT label AS query_id, i, avg(x) AS m FROM d GROUP BY ALL),
 v AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x
   FROM embeddings),
 s AS (SELECT query_id, vec_id, round(sum(x * m), 6) AS score FROM v JOIN c USING (i) GROUP BY ALL)
-SELECT query_id, vec_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER
+SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER
   (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")(
     lambda t: Q.search_dense(t.raw("embeddings"), Q.centroids(t.raw("embeddings"), "label"), 10)
-    .select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank"))
+    .select("query_id", "vec_id", "score", "rank"))
 
 query("search_filtered", f"""
 SELECT query_id, doc_id, score, rank FROM ({_bm25("lang = 'en'")}) WHERE rank <= 10""")(

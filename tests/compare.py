@@ -33,8 +33,9 @@ def plain(v):
         f = float(v)
         if math.isnan(f):
             return "nan"
-        return f"{f:.6g}" if abs(f) < 1e-4 and f else f"{f:.5f}".rstrip("0").rstrip(".").replace(
-            "-0", "-0") if f else "0"
+        if os.environ.get("STRICT"):
+            return f"{f:.12g}"
+        return f"{f:.6g}" if abs(f) < 1e-4 and f else f"{f:.5f}".rstrip("0").rstrip(".") if f else "0"
     if isinstance(v, (datetime.date, datetime.datetime)):
         return str(v)
     if isinstance(v, (list, tuple)):
