@@ -269,7 +269,7 @@ SELECT budget_activity_id, string_agg(DISTINCT category, ',' ORDER BY category)
 @query("cost_learning", """
 SELECT resource_id, CAST(year(observed) AS INT) AS year, source, cents FROM x_points
 UNION ALL SELECT resource_id, CAST(year(pay_date) AS INT), 'PAID',
-  (2 * sum(CAST(p.amount * 100 AS BIGINT)) + sum(quantity)) // (2 * sum(quantity))
+  CAST((2 * sum(CAST(p.amount * 100 AS BIGINT)) + sum(quantity)) // (2 * sum(quantity)) AS BIGINT)
 FROM (SELECT resource_id, work_date AS pay_date, quantity, CAST(round(total * (1 - discount), 2)
   AS DECIMAL(18,2)) AS amount FROM x_line WHERE line_status = 'F' AND return_flag <> 'R') p
 GROUP BY 1, 2""")
