@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fiscalarc.llm import queries
-from fiscalarc.llm.shared import stored
+from fiscalarc.llm.shared import stored, table
 
 STAGES = []
 ORACLE_SQL = None
@@ -11,7 +11,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """All stages, one after the other; the rows of the last one."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
     return docs

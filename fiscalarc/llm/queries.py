@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simple8b
+from . import divergence, fmindex, packing, simple8b
+from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -17,10 +18,6 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -29,10 +26,21 @@ def tokenizer_path() -> str:
 
 @_query
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir), tokenizer_path(), end_id=0, window=1024)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, window=1024)
 
 
 @_query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uri, files = simple8b.write_ids(_documents(spark, sf_dir), tokenizer_path(), end_id=2)
+    uri, files = simple8b.write_ids(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
     return simple8b.read_ids(spark, uri, files)
+
+
+@_query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return fmindex.contamination(docs, benchmark, window=10).drop("spans")
+
+
+@_query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.quality(table(spark, sf_dir, "documents"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pathlib import Path
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +27,10 @@ def mounted(spark: SparkSession, label: str) -> tuple[str, str]:
     if parts.scheme not in ("", "file"):
         raise ValueError(f"raw files need spark.checkpoint.dir on a mounted folder, not {uri}")
     return uri, unquote(parts.path)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder; workers on this machine can import this package from then on."""
+    root = str(Path(__file__).resolve().parents[2])
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
