@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, fmindex, packing, simple8b
+from . import divergence, fmindex, packing, simple8b, tagpaths
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.quality(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagpaths.extract(table(spark, sf_dir, "pages"))
