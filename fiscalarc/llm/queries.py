@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import divergence, fmindex, packing, simple8b, tagpaths
+from . import divergence, ecoc, fmindex, nnpu, packing, simple8b, tagpaths
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +50,25 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagpaths.extract(table(spark, sf_dir, "pages"))
+
+
+def remainder(n: int) -> Column:
+    """crc32 of the document's id as text, modulo ``n``: the folds of the held-out queries."""
+    return F.crc32(F.col("doc_id").cast("long").cast("string")) % n
+
+
+@_query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False))
+    model = ecoc.train(docs.filter(remainder(3) != 1).select("lang", "text"))
+    return ecoc.identify(docs, model, F.col("doc_id").cast("long").alias("doc_id"),
+                         held_out.alias("held_out"))
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = nnpu.train(docs, labels, remainder(5) != 0)
+    return nnpu.score(docs, model, F.col("doc_id").cast("long").alias("doc_id"),
+                      F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"))
