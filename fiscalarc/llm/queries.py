@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, ecoc, fmindex, nnpu, packing, simple8b, tagpaths
+from . import divergence, ecoc, fmindex, nnpu, packing, resampling, simple8b, tagpaths
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = nnpu.train(docs, labels, remainder(5) != 0)
     return nnpu.score(docs, model, F.col("doc_id").cast("long").alias("doc_id"),
                       F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"))
+
+
+@_query
+def op4_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

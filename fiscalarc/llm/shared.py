@@ -6,6 +6,7 @@ from pathlib import Path
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import work_dir
 
@@ -34,3 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     root = str(Path(__file__).resolve().parents[2])
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lookup(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A join side of narrow rows: broadcast if it has at most ``rows`` of them, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
