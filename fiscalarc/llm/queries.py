@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, ecoc, fmindex, nnpu, packing, resampling, simple8b, tagpaths
+from . import (
+    divergence,
+    ecoc,
+    fmindex,
+    jaccard,
+    nnpu,
+    packing,
+    resampling,
+    simple8b,
+    tagpaths,
+)
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +87,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = jaccard.join(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")

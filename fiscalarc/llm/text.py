@@ -30,13 +30,13 @@ _powers: list[np.ndarray] = []
 
 
 def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts have at most ``limit`` bytes together (one row at least)."""
+    """Runs of at most 65,000 rows whose texts have at most ``limit`` bytes together, or one row."""
     sizes = batch.column(column).cast(pa.large_string()).fill_null("")
     ends = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset:sizes.offset + len(sizes) + 1]
     start = 0
     while start < batch.num_rows:
         stop = int(np.searchsorted(ends, ends[start] + limit, side="right")) - 1
-        stop = min(max(stop, start + 1), batch.num_rows)
+        stop = min(max(stop, start + 1), batch.num_rows, start + 65_000)
         yield batch.slice(start, stop - start)
         start = stop
 
