@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,8 +125,8 @@ def _sketches(n_ranges: int):
 
 def _shared(table: pa.Table) -> pa.Table:
     """Of one hash range: per block, the rows whose hashes another block has as well."""
-    plain = table.filter(pa.compute.is_null(table["hashes"]))
-    coded = table.filter(pa.compute.is_valid(table["hashes"]))
+    plain = table.filter(pc.is_null(table["hashes"]))
+    coded = table.filter(pc.is_valid(table["hashes"]))
     parts = [unpack_sorted(x.as_py()) for x in coded["hashes"]]
     owners = [np.frombuffer(x.as_py(), "<u2") for x in coded["owner"]]
     out = []
@@ -147,8 +148,8 @@ def _shared(table: pa.Table) -> pa.Table:
 
 def _enough(table: pa.Table) -> pa.Table:
     """Of one block: the documents that share as many hashes as a link needs."""
-    is_doc = pa.compute.is_valid(table["need"])
-    hits = table.filter(pa.compute.invert(is_doc))["owner"].to_pylist()
+    is_doc = pc.is_valid(table["need"])
+    hits = table.filter(pc.invert(is_doc))["owner"].to_pylist()
     docs = table.filter(is_doc)
     count = np.bincount(np.frombuffer(b"".join(hits), "<u2"), minlength=65536)
     row = np.frombuffer(b"".join(docs["owner"].to_pylist()), "<u2")
