@@ -12,6 +12,7 @@ from . import (
     ecoc,
     fmindex,
     jaccard,
+    kneserney,
     nnpu,
     packing,
     resampling,
@@ -93,3 +94,11 @@ def op4_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = jaccard.join(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+@_query
+def op7_word_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = kneserney.train(docs.filter(remainder(7) != 2))
+    return kneserney.score(docs, model, F.col("doc_id").cast("long").alias("doc_id"),
+                           F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"))
