@@ -117,9 +117,14 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Backward search and location over one sequence of symbols (0 separates)."""
+    """Backward search and location over one sequence of symbols (0 separates).
+
+    Inside, symbols are one larger and a single 0 ends the sequence, so that walking back from the
+    first position meets the only row of its kind.
+    """
 
     def __init__(self, text: np.ndarray):
+        text = np.append(text + 1, 0)
         order = suffix_array(text)
         self.last = text[order - 1]
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text))])
@@ -144,7 +149,7 @@ class FMIndex:
             go = live[phrases.length[live] > back]
             if not len(go):
                 break
-            symbol = phrases.symbols[go, phrases.length[go] - 1 - back]
+            symbol = phrases.symbols[go, phrases.length[go] - 1 - back] + 1
             inside = symbol < len(self.before) - 1
             high[go[~inside]] = low[go[~inside]]
             go, symbol = go[inside], symbol[inside]
