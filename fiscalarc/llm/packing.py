@@ -62,23 +62,26 @@ def plan(counts: dict[int, int], window: int) -> list[tuple[int, int, int, int,
         placed, total = 0, counts[length]
         while placed < total:
             room = tree.tightest(length)
-            if room is None:
-                take = max(1, (total - placed) // (window // length))
-                open_by_room.setdefault(window, []).append((n_sequences, take))
-                tree.set(window, True)
-                n_sequences += take
-                continue
-            first, n = open_by_room[room].pop()
-            take = min(n, total - placed)
-            if take < n:
-                open_by_room[room].append((first + take, n - take))
-            if not open_by_room[room]:
-                tree.set(room, False)
-            rows.append((length, placed, take, first, window - room))
-            placed += take
-            left = room - length
+            new = room is None
+            room = window if new else room
+            # a window that takes one is now the tightest and takes all that fit
+            each = min(room // length, total - placed)
+            windows = (total - placed) // each
+            if new:
+                first, n_sequences = n_sequences, n_sequences + windows
+            else:
+                first, n = open_by_room[room].pop()
+                windows = min(windows, n)
+                if windows < n:
+                    open_by_room[room].append((first + windows, n - windows))
+                if not open_by_room[room]:
+                    tree.set(room, False)
+            for k in range(each):
+                rows.append((length, placed, windows, first, window - room + k * length))
+                placed += windows
+            left = room - each * length
             if left:
-                open_by_room.setdefault(left, []).append((first, take))
+                open_by_room.setdefault(left, []).append((first, windows))
                 tree.set(left, True)
     return rows
 
