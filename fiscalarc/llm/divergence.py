@@ -97,9 +97,11 @@ def counts(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) -> Data
     # a generator keeps the steps above and below apart, so each is computed once
     row = first.select("doc_id", "lang", F.explode(F.array(F.struct(
         "w", "length", "space", "upper", "digit", "n_symbols", "mark", "beyond"))).alias("r"))
-    hits = F.array_sort(F.array(*[F.struct(
-        (-F.size(F.filter("r.w.common", lambda w, words=words: w.isin(words)))).alias("n"),
-        F.lit(lang).alias("lang")) for lang, words in sorted(common.items())]))
+    def lacking(words: list[str]) -> Column:
+        return -F.size(F.filter("r.w.common", lambda w: w.isin(words)))
+
+    hits = F.array_sort(F.array(*[F.struct(lacking(words).alias("n"), F.lit(lang).alias("lang"))
+                                  for lang, words in sorted(common.items())]))
     language = F.when(F.col("lang").isin(list(common)), F.col("lang")).otherwise(hits[0]["lang"])
     mine = F.create_map(*[x for lang, words in sorted(common.items())
                           for x in (F.lit(lang), F.array(*map(F.lit, words)))])

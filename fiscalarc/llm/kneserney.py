@@ -32,6 +32,7 @@ BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 CHUNK_TOKENS = 1_200_000
 RANGE_KEYS = 2_000_000
 WORD, PAIR, FIRST, SECOND = range(4)
+#: pair counts from here on stand in a file of their own
 FULL = 65535
 
 
@@ -135,7 +136,7 @@ def _gather(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     return added(keys, counts.reshape(-1, width) if width > 1 else counts)
 
 
-def _add_range(folder: str, n_lower: int):
+def _add_range(folder: str, n_lower: int, full: int):
     """Add up one range of words or pairs, write it, pass on what the lower order needs."""
     def run(table: pa.Table) -> pa.Table:
         kind, r = table["kind"][0].as_py(), table["range"][0].as_py()
@@ -147,8 +148,8 @@ def _add_range(folder: str, n_lower: int):
         if kind == WORD:
             _write(f"{name}.counts", n.astype("<u8"))
             return pa.Table.from_arrays(_batch([(kind, r, None, None, stats)]), schema=_TYPE)
-        _write(f"{name}.counts", np.minimum(n, FULL).astype("<u2"))
-        _write(f"{name}.large", n[n >= FULL].astype("<u8"))
+        _write(f"{name}.counts", np.minimum(n, full).astype("<u2"))
+        _write(f"{name}.large", n[n >= full].astype("<u8"))
         pair = unmix(keys)
         classes = np.stack([n, n == 1, n == 2, n > 2], axis=1).astype(np.int64)
         first, totals = added(pair >> np.uint64(32), classes)
@@ -195,6 +196,7 @@ class Model:
 
     def __init__(self, folder: str, n_ranges: int, n_lower: int, stats: dict[int, list[int]]):
         self.folder, self.n_ranges, self.n_lower = folder, n_ranges, n_lower
+        self.full = FULL
         self.n, self.v = (stats.get(WORD) or [0, 0])[:2]
         pair = stats.get(PAIR) or [0] * 6
         second = stats.get(SECOND) or [0] * 7
@@ -226,9 +228,9 @@ class Model:
             hit = have[at] == mine
             counts = self._map(f"{kind}-{r}.counts", "<u2" if kind == PAIR else "<u8")
             found = counts.reshape(-1, width)[at[hit]].astype(np.int64)
-            full = np.flatnonzero(found[:, 0] == FULL) if kind == PAIR else ()
+            full = np.flatnonzero(found[:, 0] == self.full) if kind == PAIR else ()
             if len(full):  # as many in order as the file of large counts has
-                place = np.searchsorted(np.flatnonzero(counts == FULL), at[hit][full])
+                place = np.searchsorted(np.flatnonzero(counts == self.full), at[hit][full])
                 found[full, 0] = self._map(f"{kind}-{r}.large", "<u8")[place]
             out[edge[r]:edge[r + 1]][hit] = found
         return out if width > 1 else out[:, 0]
@@ -240,8 +242,7 @@ class Model:
         base = np.log10((known + 1) / (self.n + self.v + 1))
         short = np.unique(distinct >> np.uint64(32))
         before = self.find(SECOND, short)
-        one = self.floor + (np.maximum(before - self.lower[np.minimum(before, 3)], 0) / self.pairs
-                            if self.pairs else 0)
+        one = self.floor + np.maximum(before - self.lower[np.minimum(before, 3)], 0) / max(self.pairs, 1)
         some, pair_back = np.unique(pairs, return_inverse=True)
         n = self.find(PAIR, some)
         spelled = unmix(some)
@@ -268,7 +269,7 @@ def train(rows: DataFrame) -> Model:
     n_lower = max(16, n_ranges // 4)
     _, folder = mounted(spark, "word-model")
     stats = texts.mapInArrow(_counter(n_ranges), _FIELDS) \
-        .groupBy("kind", "range").applyInArrow(_add_range(folder, n_lower), _FIELDS) \
+        .groupBy("kind", "range").applyInArrow(_add_range(folder, n_lower, FULL), _FIELDS) \
         .groupBy("kind", "range").applyInArrow(_add_lower(folder), "kind int, stats array<long>") \
         .select("kind", F.posexplode("stats")).groupBy("kind", "pos").agg(F.sum("col").alias("n")) \
         .collect()
