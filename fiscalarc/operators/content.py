@@ -117,7 +117,7 @@ def classify_sensitivity(docs: DataFrame, text: str, patterns: dict[str, str] =
 
 def flag_untrusted(pages: DataFrame, html: str, patterns: list[str] = INSTRUCTIONS) -> DataFrame:
     """Visible text of external pages and whether it carries instructions; the text stays data."""
-    body = F.regexp_replace(F.lower(html), r"<(script|style)[^>]*>[^<]*</(script|style)>", " ")
+    body = F.regexp_replace(F.lower(html), r"(?s)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
     visible = F.trim(F.regexp_replace(F.regexp_replace(body, "<[^>]*>", " "), r"\s+", " "))
     hits = F.array_compact(F.array(*[F.when(F.col("visible").rlike(p), F.lit(i))
                                      for i, p in enumerate(patterns)]))

@@ -24,34 +24,33 @@ def build_graph(parts: list[tuple[DataFrame, str, str, str, str, str, float]]) -
     return nodes, edges
 
 
-def hierarchy_closure(edges: DataFrame, child: str, parent: str, max_depth: int = 32) -> DataFrame:
-    """Ancestor–descendant pairs with depth. Each round climbs one level from the frontier; rows
-    grow with nodes × depth only. A tree deeper than ``max_depth`` (or a cycle) is an error."""
+def hierarchy_closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """Ancestor–descendant pairs with depth. Each round climbs one level from the frontier until
+    none is left; rows grow with nodes × depth only. A node above itself is an error."""
     up = edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p"))
     level = up.select(F.col("_c").alias("descendant"), F.col("_p").alias("ancestor"),
                       F.lit(1).alias("depth"))
-    levels = [level]
-    for depth in range(2, max_depth + 1):
-        level = cut(level.join(up, F.col("ancestor") == F.col("_c")).select(
-            "descendant", F.col("_p").alias("ancestor"), F.lit(depth).alias("depth")))
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
+    levels = []
+    while not level.isEmpty():
+        if not level.filter("descendant = ancestor").isEmpty():
+            raise ValueError("hierarchy is cyclic")
         levels.append(level)
-    raise ValueError(f"hierarchy deeper than {max_depth} levels or cyclic")
+        level = cut(level.join(up, F.col("ancestor") == F.col("_c")).select(
+            "descendant", F.col("_p").alias("ancestor"), F.lit(len(levels) + 1).alias("depth")))
+    return reduce(DataFrame.unionByName, levels) if levels else level
 
 
-def lineage_trace(edges: DataFrame, starts: DataFrame, direction: str = "up", max_depth: int = 16
-                  ) -> DataFrame:
+def lineage_trace(edges: DataFrame, starts: DataFrame, direction: str = "up") -> DataFrame:
     """Everything upstream or downstream of the start nodes with the path that leads there.
 
-    A step that would return to a node of its own path is dropped, so cycles end.
+    A step that would return to a node of its own path is dropped, so every path ends.
     """
     a, b = ("dst", "src") if direction == "up" else ("src", "dst")
     e = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"))
     level = starts.select(F.col("id").alias("start"), F.col("id").alias("node"),
                           F.array("id").alias("path"))
     levels = []
-    for _ in range(max_depth):
+    while True:
         level = cut(level.join(e, F.col("node") == F.col("_from"))
                     .filter(~F.array_contains("path", F.col("_to")))
                     .select("start", F.col("_to").alias("node"),
@@ -59,8 +58,6 @@ def lineage_trace(edges: DataFrame, starts: DataFrame, direction: str = "up", ma
         if level.isEmpty():
             break
         levels.append(level)
-    else:
-        raise ValueError(f"lineage longer than {max_depth} steps")
     if not levels:
         return level.withColumn("depth", F.lit(0))
     return reduce(DataFrame.unionByName, levels).withColumn("depth", F.size("path") - 1)
@@ -82,40 +79,65 @@ def critical_path(tasks: DataFrame, keys: list[str], order: list[Column], durati
     return out.withColumn("start", F.col("finish") - F.col(duration))
 
 
-def earliest_finish(tasks: DataFrame, deps: DataFrame, max_rounds: int = 200) -> DataFrame:
+def earliest_finish(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """Earliest finish in a general dependency graph (task_id, duration; before_id, after_id).
 
-    Each round passes finishes one edge on and keeps the maximum per task; it ends when nothing
-    changes. A cycle never settles and is reported.
+    A round settles the dependencies on tasks that wait for nothing any more; there are as many
+    rounds as the longest chain has steps. If every open dependency waits for another, they form a
+    cycle, which is an error.
+    """
+    state = tasks.select("task_id", "duration", F.lit(0).cast("long").alias("begin"))
+    left = deps.select("before_id", "after_id").join(
+        tasks.select(F.col("task_id").alias("before_id")), "before_id", "left_semi")
+    while not left.isEmpty():
+        waiting = left.select(F.col("after_id").alias("before_id")).distinct()
+        ready = cut(left.join(waiting, "before_id", "left_anti"))
+        if ready.isEmpty():
+            raise ValueError("dependencies are cyclic")
+        ends = state.select(F.col("task_id").alias("before_id"),
+                            (F.col("begin") + F.col("duration")).alias("_f"))
+        latest = ready.join(ends, "before_id").groupBy(F.col("after_id").alias("task_id")).agg(
+            F.max("_f").alias("_f"))
+        state = cut(state.join(latest, "task_id", "left").select(
+            "task_id", "duration", F.greatest("begin", F.coalesce("_f", "begin")).alias("begin")))
+        left = cut(left.join(waiting, "before_id", "left_semi"))
+    return state.select("task_id", "duration", (F.col("begin") + F.col("duration")).alias("finish"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of undirected links (a, b): the least node they reach.
+
+    Large-star and small-star steps point neighbours at the least node they know of until nothing
+    changes, about as many as the logarithm of the longest path. Minima are combined map-side.
     """
-    state = tasks.select("task_id", "duration", F.col("duration").alias("finish"))
-    for _ in range(max_rounds):
-        ready = deps.join(state.select(F.col("task_id").alias("before_id"), "finish"), "before_id")
-        begin = ready.groupBy(F.col("after_id").alias("task_id")).agg(F.max("finish").alias("_s"))
-        moved = cut(state.join(begin, "task_id", "left").select(
-            "task_id", "duration", F.col("finish").alias("_old"),
-            (F.coalesce("_s", F.lit(0)) + F.col("duration")).alias("finish")))
-        changed = moved.filter(F.col("finish") != F.col("_old"))
-        state = moved.drop("_old")
-        if changed.isEmpty():
-            return state
-    raise ValueError("dependencies are cyclic or longer than max_rounds")
-
-
-def connected(edges: DataFrame, left: str, right: str, max_rounds: int = 50) -> DataFrame:
+    edges = cut(links.filter("a <> b").select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = cut(both.join(least, "a").filter("b > a").select(
+            F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        edges = cut(large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                    .unionByName(least.select("a", F.col("m").alias("b")))
+                    .filter("a <> b").distinct())
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(
+            F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+                edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        before = now
+
+
+def connected(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Connected components of a bipartite graph (item, key): the least item id of each item's
-    component. Both directions of a round are plain minimum aggregations."""
+    component. Every key links its items with its least one."""
     e = cut(edges.select(F.col(left).alias("_i"), F.col(right).alias("_k")).distinct())
-    label = e.select("_i").distinct().withColumn("_c", F.col("_i"))
-    for _ in range(max_rounds):
-        by_key = e.join(label, "_i").groupBy("_k").agg(F.min("_c").alias("_m"))
-        new = e.join(by_key, "_k").groupBy("_i").agg(F.min("_m").alias("_n"))
-        step = cut(label.join(new, "_i").select("_i", "_c", F.least("_c", "_n").alias("_n")))
-        settled = step.filter(F.col("_c") != F.col("_n")).isEmpty()
-        label = step.select("_i", F.col("_n").alias("_c"))
-        if settled:
-            return label.select(F.col("_i").alias(left), F.col("_c").alias("entity"))
-    raise ValueError("components not settled: raise max_rounds")
+    hub = e.groupBy("_k").agg(F.min("_i").alias("b"))
+    found = components(e.join(hub, "_k").select(F.col("_i").alias("a"), "b"))
+    return e.select("_i").distinct().join(found, F.col("_i") == F.col("node"), "left").select(
+        F.col("_i").alias(left), F.coalesce("component", "_i").alias("entity"))
 
 
 def resolve_entities(names: DataFrame, ident: str, name: str, aliases: DataFrame | None = None

@@ -53,7 +53,7 @@ UNION ALL SELECT a.c, b.p, 2 FROM e a JOIN e b ON a.p = b.c""")(
                       F.concat_ws("", F.lit("M:"), "ministry_id").alias("p"))
         .unionByName(t.ministry.select(F.concat_ws("", F.lit("M:"), "ministry_id").alias("c"),
                                        F.concat_ws("", F.lit("I:"), "institution_id").alias("p"))),
-        "c", "p", 8))
+        "c", "p"))
 
 
 @query("lineage_trace", """
@@ -66,7 +66,7 @@ def _(t):
     nodes, edges = graph(t)
     official = edges.filter("kind = 'OFFICIAL'")
     starts = official.filter("relation = 'PAYS'").select(F.col("dst").alias("id")).distinct()
-    out = G.lineage_trace(official, starts, "up", 8)
+    out = G.lineage_trace(official, starts, "up")
     return out.withColumn("path", F.array_join("path", "<"))
 
 

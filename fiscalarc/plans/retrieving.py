@@ -173,7 +173,15 @@ SELECT query_id, doc_id, CAST(min(hops) AS INT) AS hops FROM (SELECT *, 0 AS hop
   SELECT *, 1 FROM o UNION ALL SELECT *, 2 FROM w) GROUP BY ALL""")(
     lambda t: Q.graph_expand(fused(t), document_edges(t), 2))
 
-query("near_duplicates")(
+query("near_duplicates", """
+WITH s AS (SELECT doc_id, CASE WHEN len(words) >= 3 THEN list_distinct(list_transform(
+    range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]))
+  ELSE [array_to_string(words, ' ')] END AS s FROM x_words),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id, b.doc_id AS lead, CAST(count(*) AS DOUBLE) AS c, min(a.n) + min(b.n) AS n
+  FROM t a JOIN t b ON a.g = b.g AND b.doc_id < a.doc_id GROUP BY 1, 2)
+SELECT doc_id, min(lead) AS doc_id_leader, round(arg_min(c / (n - c), lead), 6) AS jaccard
+FROM p WHERE c / (n - c) >= 0.7 GROUP BY 1""")(
     lambda t: Q.near_duplicates(t.document, "doc_id", "text"))
 
 VIEWS["x_set"] = "SELECT doc_id, list_distinct(words) AS s FROM x_words"

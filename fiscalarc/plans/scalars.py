@@ -188,7 +188,7 @@ FROM documents""")(
     lambda t: X.classify_sensitivity(t.document, "text").select("doc_id", "data_class"))
 
 _VIS = (r"trim(regexp_replace(regexp_replace(regexp_replace(lower(html), "
-        r"'<(script|style)[^>]*>[^<]*</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))")
+        r"'(?s)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))")
 query("flag_untrusted", f"""
 WITH v AS (SELECT page_id, {_VIS} AS visible FROM pages)
 SELECT page_id, md5(visible) AS visible_hash, {' + '.join(

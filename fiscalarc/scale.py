@@ -1,7 +1,7 @@
 """Helpers that keep jobs even when one group holds a large share of all rows.
 
-``windowed`` computes window functions per group. Groups that would overload one task are cut
-into ordered slices: the window runs inside each slice and the few per-slice totals are carried
+``windowed`` computes window functions per group. Large inputs are dealt into ranges of (group,
+order): the window runs inside each range and the totals of the groups that span ranges are carried
 over, so the answer is that of the plain window and no task ever sees a whole hot group.
 """
 
@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .session import cut
+
 SPLIT_MIN_BYTES = "fiscalarc.split.minBytes"
 SPLIT_MIN_ROWS = "fiscalarc.split.minRows"
-SAMPLE_PER_SLICE = 50
-MAX_SLICES = 8000
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -34,42 +34,6 @@ def _conf(df: DataFrame, key: str, default: int) -> int:
     return int(df.sparkSession.conf.get(key, str(default)))
 
 
-def _hot_bounds(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame | None:
-    """Split points of the hot groups, or None. Bounded: at most MAX_SLICES points in all.
-
-    A group is hot when it holds more than twice an even task's share, so there are fewer hot
-    groups than tasks; the points come from a hash sample and only steer the partitioning.
-    """
-    if plan_bytes(df) < _conf(df, SPLIT_MIN_BYTES, 256 << 20):
-        return None
-    spark = df.sparkSession
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else df.agg(
-        F.count(F.lit(1)).alias("_n"))
-    tasks = min(MAX_SLICES // 2, max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    total = df.count()
-    even = max(_conf(df, SPLIT_MIN_ROWS, 1_000_000), total // tasks + 1)
-    hot_schema = counts.schema
-    hot_rows = counts.filter(F.col("_n") > 2 * even).collect()
-    if not hot_rows:
-        return None
-    hot = F.broadcast(spark.createDataFrame(hot_rows, hot_schema))
-    step = max(1, even // SAMPLE_PER_SLICE)
-    tagged = df.select(*keys, *order).filter(
-        F.pmod(F.xxhash64(*keys, *order), F.lit(step)) == 0)
-    sample = tagged.join(hot, keys) if keys else tagged.withColumn("_n", F.lit(total))
-    position = W.partitionBy(*keys).orderBy(*order)
-    cuts = (
-        sample.withColumn("_r", F.row_number().over(position))
-        .filter((F.col("_r") % SAMPLE_PER_SLICE) == 0)
-        .select(*keys, F.struct(*order).alias("_cut"))
-        .distinct()
-    )
-    bounds = cuts.groupBy(*keys).agg(F.array_sort(F.collect_list("_cut")).alias("_cuts")) if keys \
-        else cuts.agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"))
-    return spark.createDataFrame(bounds.collect(), bounds.schema)
-
-
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
@@ -91,23 +55,22 @@ def windowed(df: DataFrame, keys: list[str], order: list[Column], **outs: tuple)
     """
     names = [f"_o{i}" for i in range(len(order))]
     base = df.select("*", *[c.alias(n) for c, n in zip(order, names)])
-    bounds = _hot_bounds(base, keys, names)
-    if bounds is None:
+    rows = _conf(df, SPLIT_MIN_ROWS, 1_000_000)
+    if plan_bytes(base) >= _conf(df, SPLIT_MIN_BYTES, 256 << 20):
+        # the estimate multiplies over joins: the input is written once and its rows are counted
+        base = cut(base)
+        total = base.count()
+    else:
+        total = 0
+    if total <= rows:
         w = W.partitionBy(*keys).orderBy(*names)
         return base.select(*df.columns, *[
             _plain(spec, w, W.partitionBy(*keys)).alias(out) for out, spec in outs.items()])
 
-    cuts = bounds.withColumn("_hot", F.lit(True))
-    if keys:
-        sliced = _left(base, cuts, keys)
-    else:
-        one = bounds.first()["_cuts"]
-        literal = F.from_json(F.lit(bounds.select(F.to_json("_cuts")).first()[0]),
-                              bounds.schema["_cuts"].dataType) if one else F.array()
-        sliced = base.withColumn("_cuts", literal).withColumn("_hot", F.lit(True))
+    # rows with equal keys and order stay in one range; the ranges are written, so they never change
+    sliced = cut(base.repartitionByRange(total // rows + 1, *keys, *names).withColumn(
+        "_slice", F.spark_partition_id()))
     here = F.struct(*names)
-    sliced = sliced.withColumn("_slice", F.coalesce(
-        F.size(F.filter("_cuts", lambda b: b <= here)), F.lit(-1))).drop("_cuts")
     local_keys = [*keys, "_slice"]
     w = W.partitionBy(*local_keys).orderBy(*names)
 
@@ -122,7 +85,13 @@ def windowed(df: DataFrame, keys: list[str], order: list[Column], **outs: tuple)
             sums.append(F.max_by(F.struct(F.col(col)), here).alias(f"_s_{out}"))
         elif kind == "lead":
             sums.append(F.min_by(F.struct(F.col(col)), here).alias(f"_s_{out}"))
-    totals = sliced.filter(F.col("_hot")).groupBy(*local_keys).agg(*sums)
+    # groups that span ranges: at most two per range
+    spanning = sliced.groupBy(*keys).agg(F.min("_slice").alias("_a"), F.max("_slice").alias("_z")) \
+        .filter("_a < _z").drop("_a", "_z")
+    wide = sliced if not keys else sliced.join(F.broadcast(spanning.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys])), reduce(lambda a, b: a & b, [
+            F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]), "left_semi")
+    totals = wide.groupBy(*local_keys).agg(*sums)
     across = W.partitionBy(*keys).orderBy("_slice")
     before = across.rowsBetween(W.unboundedPreceding, -1)
     carry = [F.sum("_n").over(before).alias("_c_n"), F.sum("_d").over(before).alias("_c_d"),
@@ -220,11 +189,11 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
 
 
 def pick(df: DataFrame, keys: list[str], order: Column, latest: bool = True) -> DataFrame:
-    """One whole row per key, by partial aggregation instead of a sort."""
+    """One whole row per key; Spark prunes to one per key and task before the shuffle."""
+    by = order.desc_nulls_last() if latest else order.asc_nulls_last()
     rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*rest)
-    chosen = F.max_by(row, order) if latest else F.min_by(row, order)
-    return df.groupBy(*keys).agg(chosen.alias("_row")).select(*keys, "_row.*")
+    w = W.partitionBy(*keys).orderBy(by)
+    return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*keys, *rest)
 
 
 def no_rows(schema: T.StructType, spark) -> DataFrame:

@@ -22,21 +22,47 @@ def import_tabular(spark: SparkSession, path: str, mapping: dict[str, tuple[str,
                    rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Import CSV files: detect columns, map and cast them, split valid from rejected rows.
 
-    ``mapping`` is source column -> (canonical name, type); a value that does not cast is rejected.
+    ``mapping`` is source column -> (canonical name, type); a value that does not cast is rejected,
+    and so is a row with more or fewer fields than the header. Rejected rows keep their source line
+    in ``_line``, so they can be corrected and imported again with ``replay``.
     """
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    missing = [c for c in mapping if c not in raw.columns]
+    header = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path).columns
+    missing = [c for c in mapping if c not in header]
     if missing:
         raise ValueError(f"columns not found in the file: {missing}")
+    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", "_ragged").schema(_fields(header)).csv(path))
+    return _typed(raw, mapping, rules)
+
+
+def replay(rejected: DataFrame, header: list[str], mapping: dict[str, tuple[str, str]],
+           rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Import corrected source lines (column ``_line``, fields in the order of ``header``)."""
+    parsed = F.from_csv("_line", _fields(header).toDDL(), {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_ragged"})
+    return _typed(rejected.select(parsed.alias("_r")).select("_r.*"), mapping, rules)
+
+
+def _fields(header: list[str]) -> T.StructType:
+    """Text fields, and one for the line of a row whose field count is wrong."""
+    return T.StructType([T.StructField(c, T.StringType()) for c in [*header, "_ragged"]])
+
+
+def _typed(raw: DataFrame, mapping: dict[str, tuple[str, str]], rules: dict[str, Column]
+           ) -> tuple[DataFrame, DataFrame]:
+    from ..operators.filters import quarantine
+
+    fields = [c for c in raw.columns if c != "_ragged"]
+    line = F.coalesce("_ragged", F.to_csv(F.struct(*[F.col(f"`{c}`") for c in fields])))
     typed = raw.select(*[
         F.expr(f"try_cast(`{src}` AS {kind})").alias(name) for src, (name, kind) in mapping.items()],
         F.array_compact(F.array(*[
             F.when(F.col(f"`{src}`").isNotNull() & F.expr(f"try_cast(`{src}` AS {kind})").isNull(),
                    F.lit(f"{name}: not {kind}")) for src, (name, kind) in mapping.items()]))
-        .alias("_cast"))
-    from ..operators.filters import quarantine
-    ok, bad = quarantine(typed, {"unreadable value": F.size("_cast") > 0, **rules})
-    return ok.drop("_cast"), bad
+        .alias("_cast"), F.col("_ragged").isNotNull().alias("_count"), line.alias("_line"))
+    ok, bad = quarantine(typed, {"wrong number of fields": F.col("_count"),
+                                 "unreadable value": F.size("_cast") > 0, **rules})
+    return ok.drop("_cast", "_count", "_line"), bad.drop("_count")
 
 
 def preview(df: DataFrame, rows: int = 20) -> list:
@@ -171,8 +197,13 @@ def snapshot_as_of(history: DataFrame, when: str) -> DataFrame:
 
 
 def dataset_fingerprint(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
-    """Row count and order-free content hash; equal rows in any order give equal hashes."""
-    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    """Row count and order-free content hash; equal rows in any order give equal hashes.
+
+    Every value is written with its length in front, a null as a minus sign, so no two different
+    rows read the same.
+    """
+    row = F.concat(*[F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"),
+                                         F.col(c).cast("string")), F.lit("-")) for c in columns])
     part = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("decimal(20,0)")
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"),
                                  F.sum(part).cast("string").alias("fingerprint"))

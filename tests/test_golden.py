@@ -151,7 +151,7 @@ def test_earliest_finish_and_cycles(spark):
     assert got == {"a": 2, "b": 3, "c": 7, "d": 8}
     with pytest.raises(ValueError):
         graph.earliest_finish(tasks, deps.unionByName(spark.sql(
-            "SELECT 'd' AS before_id, 'a' AS after_id")), max_rounds=8)
+            "SELECT 'd' AS before_id, 'a' AS after_id")))
 
 
 def test_lineage_ends_on_a_cycle(spark):
@@ -206,11 +206,11 @@ def test_near_duplicates_against_brute_force(spark):
     got = {r["id"]: (r["id_leader"], r["jaccard"]) for r in
            retrieval.near_duplicates(df, "id", "text", 0.7).collect()}
     text = dict(texts)
-    for i, (leader, value) in got.items():
-        assert leader < i and value == pytest.approx(_jaccard(text[i], text[leader]), abs=1e-6)
-        assert value >= 0.7
-    kept = [i for i, _ in texts if i not in got]
-    assert all(_jaccard(text[a], text[b]) < 0.7 for a, b in itertools.combinations(kept, 2))
+    for i in range(60):
+        alike = [j for j in range(i) if _jaccard(text[i], text[j]) >= 0.7]
+        assert (i in got) == bool(alike)
+        if alike:
+            assert got[i] == (alike[0], pytest.approx(_jaccard(text[i], text[alike[0]]), abs=1e-6))
 
 
 def test_exact_search_against_brute_force(spark):
@@ -247,3 +247,42 @@ def test_audit_chain_finds_removed_record(spark):
     bad = windows.verify_audit_chain(sealed.filter("id <> 2"), "s", [F.col("id")], F.concat_ws("|", "id", "v"))
     assert [r["id"] for r in bad.collect()] == [3]
     assert windows.verify_audit_chain(sealed, "s", [F.col("id")], F.concat_ws("|", "id", "v")).isEmpty()
+
+
+def test_ragged_csv_rows_are_rejected_and_replayed(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("No,Amount\n1,5\n2,6,7\n3\n4,x\n")
+    mapping, rules = {"No": ("no", "bigint"), "Amount": ("amount", "double")}, {}
+    ok, bad = ingest.import_tabular(spark, str(tmp_path), mapping, rules)
+    assert [tuple(r) for r in ok.collect()] == [(1, 5.0)]
+    lines = {r["_line"]: r["reasons"] for r in bad.collect()}
+    assert lines == {"2,6,7": ["wrong number of fields"], "3": ["wrong number of fields"],
+                     "4,x": ["unreadable value"]}
+    fixed = bad.withColumn("_line", F.when(F.col("_line") == "3", "3,8").otherwise(F.col("_line")))
+    again, still = ingest.replay(fixed, ["No", "Amount"], mapping, rules)
+    assert [tuple(r) for r in again.collect()] == [(3, 8.0)] and still.count() == 2
+
+
+def test_script_text_is_not_visible(spark):
+    page = "<script>if (a<b) x()</script ><!-- no --><style>p<q</style><p>Hello</p>"
+    row = content.flag_untrusted(spark.createDataFrame([(page,)], "html string"), "html").first()
+    assert row["visible"] == "hello"
+
+
+def test_fingerprint_keeps_values_apart(spark):
+    def of(a, b):
+        df = spark.createDataFrame([(a, b)], "x string, y string")
+        return ingest.dataset_fingerprint(df, ["x", "y"]).first()["fingerprint"]
+    assert len({of("a|b", "c"), of("a", "b|c"), of(None, "a"), of("~", "a"), of("-", "a")}) == 5
+
+
+def test_long_chains_are_connected(spark):
+    chain = spark.range(1500).selectExpr("explode(array(id, id + 1)) AS item", "id AS key")
+    found = graph.connected(chain, "item", "key")
+    assert found.count() == 1501 and found.select("entity").distinct().collect() == [(0,)]
+
+
+def test_deep_hierarchies_end_and_cycles_fail(spark):
+    deep = spark.range(40).selectExpr("id AS c", "id + 1 AS p")
+    assert graph.hierarchy_closure(deep, "c", "p").count() == 40 * 41 // 2
+    with pytest.raises(ValueError):
+        graph.hierarchy_closure(deep.unionByName(spark.sql("SELECT 40L AS c, 0L AS p")), "c", "p")
