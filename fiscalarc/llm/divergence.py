@@ -168,4 +168,5 @@ def quality(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) -> Dat
         "word_distance", "n_words", WORD_DISTANCE, WORD_LENGTH)
     return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", (~F.col("base_failed") & ~strange).alias("kept"), "language",
-                      "char_distance", "word_distance")
+                      F.round("char_distance", 6).alias("char_distance"),
+                      F.round("word_distance", 6).alias("word_distance"))

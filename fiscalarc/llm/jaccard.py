@@ -37,9 +37,10 @@ SHINGLE = 5
 PERCENT = 75
 THETA = 0.4
 RANGE_SHINGLES = 2_000_000
-PAIR_COST = 4
+#: sending a member to a list costs as much as scanning so many members of lists
+SEND = 200
 LIST_BLOCK = 2048
-TASK_ROWS = 20_000
+TASK_ROWS = 4_000
 
 
 def slack(n):
@@ -176,10 +177,11 @@ def _whole_sets(batches):
 
 def _boundary(ordered: DataFrame) -> int:
     """The size up to which sets are light: least cost over all sets, by classes of size."""
-    lists = F.size("light").cast("long")
+    k, one = F.size("light").cast("long"), F.size("heavy").cast("long")
     classes = ordered.groupBy(F.floor(8 * F.log2("n")).alias("c")).agg(
-        F.max("n").alias("n"), F.sum(lists * (lists - 1) / 2 * PAIR_COST).alias("pairs"),
-        F.sum(F.aggregate("heavy", F.lit(0).cast("long"), lambda a, x: a + x["f"])).alias("scan")) \
+        F.max("n").alias("n"), F.sum(SEND * k * (k - 1) / 2).alias("pairs"),
+        F.sum(SEND * one + F.aggregate("heavy", F.lit(0).cast("long"), lambda a, x: a + x["f"]))
+        .alias("scan")) \
         .orderBy("c").collect()
     best, cost = 0, sum(r.scan for r in classes)
     least = cost
@@ -207,14 +209,13 @@ def _lists(sets: DataFrame) -> DataFrame:
                                                    F.lit(False).alias("heavy"))
     heavy = ordered.filter(F.col("n") > PERCENT * x / 100 - 1).select(
         "doc", F.explode("heavy.shingle").alias("list"), (F.col("n") > x).alias("heavy"))
-    posts = stored(light.withColumn("kind", F.lit(0)).unionByName(heavy.withColumn("kind", F.lit(1))),
-                   "posts")
+    posts = light.withColumn("kind", F.lit(0)).unionByName(heavy.withColumn("kind", F.lit(1)))
     sums = posts.groupBy("kind", "list").agg(
         F.count(F.lit(1)).alias("members"), F.max("heavy").alias("heavy"),
         F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"))
     kept = sums.filter((F.col("members") > 1) & (F.col("heavy") | (F.col("kind") == 0))).groupBy(
         "members", "who").agg(F.min(F.struct("kind", "list")).alias("l")).select("l.*", "members")
-    return stored(posts.select("kind", "list", "doc").join(kept, ["kind", "list"]), "lists")
+    return posts.select("kind", "list", "doc").join(kept, ["kind", "list"])
 
 
 def slack_sql(n: str) -> str:
@@ -296,8 +297,7 @@ def _candidates(members: DataFrame, forest: bool) -> DataFrame:
     placed = placed.withColumn("other", F.explode(partner)).select(
         "kind", "list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
         "doc", "n", "bits", "component", "block")
-    total = placed.count()
-    tasks = max(1, total // TASK_ROWS)
+    tasks = max(1, members.count() // TASK_ROWS)
     keyed = placed.withColumn("task", F.pmod(F.xxhash64("kind", "list", "x", "y"), F.lit(tasks)))
 
     def run(table: pa.Table) -> pa.Table:
@@ -364,15 +364,15 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = stored(lists.join(known, "doc"), "members")
     alone = members.withColumn("component", F.col("doc"))
     links = stored(_linked(stored(_candidates(alone, True), "forest"), sets), "forest-links")
-    merged = components(links).withColumnsRenamed({"node": "doc"})
+    merged = stored(components(links), "merged").withColumnsRenamed({"node": "doc"})
     now = members.join(lookup(merged), "doc", "left").withColumn(
         "component", F.coalesce("component", "doc"))
-    mixed = stored(now, "merged").groupBy("kind", "list").agg(
+    mixed = now.groupBy("kind", "list").agg(
         F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     rest = stored(now.join(mixed.select("kind", "list"), ["kind", "list"]), "mixed")
     more = stored(_linked(stored(_candidates(rest, False), "rest"), sets), "rest-links")
     links = links.unionByName(more).distinct()
-    found = components(links).withColumnsRenamed({"node": "doc"})
+    found = stored(components(links), "linked").withColumnsRenamed({"node": "doc"})
     together = classes.join(lookup(found), "doc", "left").select(
         "key", F.col("doc").alias("class_id"), F.coalesce("component", "doc").alias("component_id"),
         "copies").filter("copies > 1 or class_id <> component_id").drop("copies")

@@ -39,4 +39,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lookup(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """A join side of narrow rows: broadcast if it has at most ``rows`` of them, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df

@@ -79,7 +79,7 @@ def shingles(text):
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("limits", [{}, {"PAIR_COST": 1e-9}, {"PAIR_COST": 1e9, "LIST_BLOCK": 8}])
+@pytest.mark.parametrize("limits", [{}, {"SEND": 1e-9}, {"SEND": 1e9, "LIST_BLOCK": 8}])
 def test_jaccard_join(docs, corpus, monkeypatch, limits):
     for name, value in limits.items():  # all light, all heavy with lists in blocks
         monkeypatch.setattr(jaccard, name, value)
@@ -111,7 +111,9 @@ def test_jaccard_join_of_nothing(none):
     assert jaccard.join(none)[0].count() == 0
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("few", [100_000, 20])
+def test_components_of_a_chain_and_a_star(spark, monkeypatch, few):
+    monkeypatch.setattr("fiscalarc.llm.components.FEW", few)
     links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5)]
     found = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert found == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(200)}
