@@ -151,14 +151,14 @@ FROM x_ires""")(
 
 
 @query("forecast_indicator", """
-WITH s AS (SELECT kind AS indicator, CAST(day(day) AS DOUBLE) AS x, CAST(sum(value) AS DOUBLE) / count(*)
+WITH s AS (SELECT kind AS indicator, CAST(day - DATE '2020-01-01' AS DOUBLE) AS x, CAST(sum(value) AS DOUBLE) / count(*)
   AS y FROM x_ev GROUP BY ALL)
 SELECT indicator, count(*) AS n_points, round(regr_slope(y, x), 6) AS slope, max(x) + 7 AS period,
   round(regr_intercept(y, x) + regr_slope(y, x) * (max(x) + 7), 4) AS forecast, 'FORECAST' AS label
 FROM s GROUP BY 1""")
 def _(t):
     series = t.event.groupBy(F.col("kind").alias("indicator"),
-                             F.dayofmonth("day").cast("double").alias("x")).agg(
+                             F.date_diff("day", F.lit("2020-01-01").cast("date")).cast("double").alias("x")).agg(
         (F.sum("value").cast("double") / F.count(F.lit(1))).alias("y"))
     return W.forecast_indicator(series, ["indicator"], "x", "y", 7)
 
