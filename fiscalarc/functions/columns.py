@@ -88,17 +88,6 @@ def calendar_fields(start: Column | str, end: Column | str) -> Column:
         F.year(d).cast("string"), F.lit("Q"), F.quarter(d).cast("string")))
 
 
-def weighted_score(weights: dict[str, float]) -> Column:
-    """Weighted mean of numeric columns; absent values count as zero."""
-    total = sum(weights.values())
-    terms = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * F.lit(float(w))
-             for c, w in weights.items()]
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out / F.lit(float(total))
-
-
 def weighted_progress(value: Column | str, weight: Column | str) -> Column:
     """Weighted mean as an aggregate expression; null when the weights sum to zero."""
     value = F.col(value) if isinstance(value, str) else value

@@ -390,11 +390,15 @@ def risk_matrix(risks: DataFrame) -> DataFrame:
     return grid.withColumn("exposure", exposure.cast("long"))
 
 
-def quality_scores(df: DataFrame, checks: dict[str, Column], keys: list[str] = ()) -> DataFrame:
-    """Share of rows passing each dimension's check, in one pass."""
-    return df.groupBy(*keys).agg(n_rows().alias("n_rows"), *[
-        ratio(F.sum(F.when(ok, 1).otherwise(0)), n_rows()).alias(name)
-        for name, ok in checks.items()])
+def quality_scores(df: DataFrame, checks: dict[str, Column], unique: list[str],
+                   keys: list[str] = ()) -> DataFrame:
+    """Share of rows passing each dimension's check, and of distinct ``unique`` keys: one grouping
+    by them gives both."""
+    first = df.groupBy(*keys, *unique).agg(n_rows().alias("_n"), *[
+        F.sum(F.when(ok, 1).otherwise(0)).alias(name) for name, ok in checks.items()])
+    n = F.sum("_n")
+    return first.groupBy(*keys).agg(n.alias("n_rows"), *[
+        ratio(F.sum(name), n).alias(name) for name in checks], ratio(n_rows(), n).alias("uniqueness"))
 
 
 def quality_incidents(df: DataFrame, failing: dict[str, Column], rules: DataFrame,

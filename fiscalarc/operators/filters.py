@@ -99,9 +99,10 @@ def official_only(df: DataFrame, status: str = "status",
                   accepted: tuple[str, ...] = ("CERTIFIED", "VERIFIED"),
                   keep_others: bool = False) -> DataFrame:
     """Certified rows; with ``keep_others`` the rest stays, labelled."""
-    label = F.when(F.col(status).isin(*accepted), "OFFICIAL").otherwise("UNOFFICIAL")
-    out = df.withColumn("label", label)
-    return out if keep_others else out.filter(F.col("label") == "OFFICIAL")
+    official = F.col(status).isin(*accepted)
+    if keep_others:
+        return df.withColumn("label", F.when(official, "OFFICIAL").otherwise("UNOFFICIAL"))
+    return df.filter(official).withColumn("label", F.lit("OFFICIAL"))
 
 
 def retention_expired(df: DataFrame, retention: DataFrame, today: str, dated: str) -> DataFrame:

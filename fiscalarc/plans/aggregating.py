@@ -400,11 +400,13 @@ def _(t):
 
 
 VIEWS["x_ires"] = """
-  SELECT e.*, i.direction, i.program, t.target,
+  SELECT e.* EXCLUDE (slot), i.direction, i.program, t.target,
     CASE direction WHEN 'LOWER' THEN actual <= target ELSE actual >= target END AS reached
-  FROM (SELECT kind AS indicator, CAST((day(day) - 1) // 7 + 1 AS INT) AS week,
+  FROM (SELECT kind AS indicator, CAST((day(day) - 1) // 7 + 1 AS INT) AS slot,
+      CAST((year(day) - 2020) * 60 + (month(day) - 1) * 5 + (day(day) - 1) // 7 + 1 AS INT) AS week,
       CAST(sum(value) AS DOUBLE) / count(*) AS actual, count(*) AS n FROM x_ev GROUP BY ALL) e
-  JOIN x_indicator i USING (indicator) JOIN x_indicator_target t USING (indicator, week)"""
+  JOIN x_indicator i USING (indicator) JOIN x_indicator_target t
+    ON t.indicator = e.indicator AND t.week = e.slot"""
 
 query("effectiveness", """
 SELECT indicator, count(*) AS n_targets, count(*) FILTER (reached) AS n_reached,
@@ -473,12 +475,14 @@ def _(t):
 
 query("multi_year_projection", """
 SELECT program, CAST(y AS INT) AS year,
-  round(CAST(amount AS DOUBLE) * pow(1 + rate_pct / 100.0, y - 2002 + 1), 2) AS projected
-FROM (SELECT program, sum(allocation) AS amount FROM x_au WHERE fiscal_year = 2000 GROUP BY 1)
+  round(amount * pow(1 + rate_pct / 100.0, y - 2002 + 1), 2) AS projected
+FROM (SELECT program, CAST(sum(allocation) AS DOUBLE) / count(DISTINCT fiscal_year) AS amount FROM x_au
+  GROUP BY 1)
 JOIN x_growth USING (program), range(2002, 2005) r(y)""")(
     lambda t: A.multi_year_projection(
-        t.activity_unit.filter("fiscal_year = 2000").groupBy("program").agg(
-            F.sum("allocation").alias("amount")), t.rule("growth"), 2002, 3))
+        t.activity_unit.groupBy("program").agg((
+            F.sum("allocation").cast("double") / F.countDistinct("fiscal_year")).alias("amount")),
+        t.rule("growth"), 2002, 3))
 
 
 @query("conference_pack", f"""
@@ -659,18 +663,12 @@ SELECT count(*) AS n_rows,
   (SELECT CAST(u AS DOUBLE) / n FROM d) AS uniqueness
 FROM x_line l LEFT JOIN x_act a USING (activity_id)""")
 def _(t):
-    lines = t.line.join(t.activity, "activity_id", "left")
-    first = lines.groupBy("activity_id", "seq").agg(*[
-        F.sum(F.when(ok, 1).otherwise(0)).alias(name) for name, ok in {
-            "completeness": F.col("activity_id").isNotNull() & F.col("resource_id").isNotNull(),
-            "validity": F.col("quantity") <= 45, "accuracy": F.col("discount") < 0.1,
-            "consistency": F.col("work_date") >= F.col("start_date"),
-            "timeliness": F.col("work_date") >= F.lit("1996-01-01").cast("date"),
-            "integrity": F.col("status").isNotNull()}.items()], A.n_rows().alias("n"))
-    n = F.sum("n")
-    return first.agg(n.alias("n_rows"), *[ratio(F.sum(c), n).alias(c) for c in (
-        "completeness", "validity", "accuracy", "consistency", "timeliness", "integrity")],
-        ratio(A.n_rows(), n).alias("uniqueness"))
+    return A.quality_scores(t.line.join(t.activity, "activity_id", "left"), {
+        "completeness": F.col("activity_id").isNotNull() & F.col("resource_id").isNotNull(),
+        "validity": F.col("quantity") <= 45, "accuracy": F.col("discount") < 0.1,
+        "consistency": F.col("work_date") >= F.col("start_date"),
+        "timeliness": F.col("work_date") >= F.lit("1996-01-01").cast("date"),
+        "integrity": F.col("status").isNotNull()}, ["activity_id", "seq"])
 
 
 @query("quality_incidents", """

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import day, money
 from ..operators import derive as D
 from ..scale import windowed
-from ..operators import windows as W
 from ..sources import rules as R
 from .aggregating import _doubles
 from .inputs import price_points, recommendations, schedule

@@ -82,13 +82,16 @@ def indicator_days(t):
 
 
 def indicator_results(t):
-    """Weekly actual against target."""
-    week = (F.floor((F.dayofmonth("day") - 1) / 7) + 1).cast("int")
-    weekly = t.event.groupBy(F.col("kind").alias("indicator"), week.alias("week")).agg(
+    """Weekly actual against the target of that week of the month. Weeks are numbered through, five
+    to a month from 2020 on, so those of different months stay apart."""
+    slot = (F.floor((F.dayofmonth("day") - 1) / 7) + 1).cast("int")
+    week = ((F.year("day") - 2020) * 60 + (F.month("day") - 1) * 5 + slot).cast("int")
+    weekly = t.event.groupBy(F.col("kind").alias("indicator"), week.alias("week"), slot.alias("slot")).agg(
         (F.sum("value").cast("double") / F.count(F.lit(1))).alias("actual"),
         F.count(F.lit(1)).alias("n"))
+    targets = t.rule("indicator_target").withColumnRenamed("week", "slot")
     return weekly.join(t.rule("indicator").select("indicator", "direction", "program"),
-                       "indicator").join(t.rule("indicator_target"), ["indicator", "week"])
+                       "indicator").join(targets, ["indicator", "slot"]).drop("slot")
 
 
 def recommendations(t):

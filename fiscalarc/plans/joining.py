@@ -316,14 +316,13 @@ def _(t):
 
 @query("merge_calendars", """
 WITH l AS (SELECT CASE WHEN priority = '1-URGENT' THEN 'CONFERENCE' ELSE 'REVIEW ' || priority END
-    AS event, max(start_date) AS deadline, institution AS scope FROM x_au WHERE fiscal_year = 1999
-  GROUP BY ALL)
+    AS event, max(start_date) AS deadline, institution AS scope FROM x_au GROUP BY ALL)
 SELECT event, CAST(deadline AS VARCHAR) AS deadline, instrument, 'NATIONAL' AS scope
 FROM x_calendar_national
 UNION ALL SELECT event, CAST(deadline AS VARCHAR), NULL, scope FROM l
 WHERE event NOT IN (SELECT event FROM x_calendar_national)""")
 def _(t):
-    local = t.activity_unit.filter("fiscal_year = 1999").groupBy(
+    local = t.activity_unit.groupBy(
         F.when(F.col("priority") == "1-URGENT", "CONFERENCE").otherwise(
             F.concat(F.lit("REVIEW "), "priority")).alias("event"),
         F.col("institution").alias("scope")).agg(F.max("start_date").alias("deadline"))

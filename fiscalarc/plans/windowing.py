@@ -86,7 +86,7 @@ SELECT activity_id, seq, resource_id, unit_cents, median, gap, gap > 0.2 AS just
 
 @query("anti_splitting", f"""
 WITH d AS (SELECT budget_activity_id, category, work_date, sum(total) AS s, count(*) AS n FROM x_need
-  WHERE execution_mode = 'INDIRECT' AND total < {R.SPLITTING_LIMIT} GROUP BY ALL),
+  WHERE total < {R.SPLITTING_LIMIT} GROUP BY ALL),
 w AS (SELECT budget_activity_id, category, work_date,
   sum(s) OVER w AS window_total, CAST(sum(n) OVER w AS BIGINT) AS n_needs FROM d
   WINDOW w AS (PARTITION BY budget_activity_id, category ORDER BY work_date
@@ -95,8 +95,7 @@ SELECT budget_activity_id, category, CAST(work_date AS VARCHAR) AS work_date,
   CAST(window_total AS DOUBLE) AS window_total, n_needs FROM w
 WHERE window_total >= {R.SPLITTING_LIMIT} AND n_needs > 1""")
 def _(t):
-    needs = t.need.filter("execution_mode = 'INDIRECT'")
-    return W.anti_splitting(needs, ["budget_activity_id", "category"], R.SPLITTING_LIMIT,
+    return W.anti_splitting(t.need, ["budget_activity_id", "category"], R.SPLITTING_LIMIT,
                             R.SPLITTING_DAYS).select(
         "budget_activity_id", "category", day("work_date").alias("work_date"),
         money("window_total").alias("window_total"), "n_needs")

@@ -11,7 +11,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .session import cut
@@ -194,7 +193,3 @@ def pick(df: DataFrame, keys: list[str], order: Column, latest: bool = True) ->
     rest = [c for c in df.columns if c not in keys]
     w = W.partitionBy(*keys).orderBy(by)
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*keys, *rest)
-
-
-def no_rows(schema: T.StructType, spark) -> DataFrame:
-    return spark.createDataFrame([], schema)

@@ -215,7 +215,3 @@ def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "
     (stream.writeStream.format("parquet").outputMode(mode).option("path", target)
      .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
      .awaitTermination())
-
-
-def struct_of(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
