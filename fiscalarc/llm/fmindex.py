@@ -13,7 +13,6 @@ Phrases are held by every task, so they are dealt in slices of at most ``SLICE_W
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
