@@ -36,7 +36,7 @@ def shared_root(spark: SparkSession) -> str:
         current = context._jsc.sc().getCheckpointDir()
         root = current.get() if current.isDefined() else None
     if not root:
-        if not context.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="fiscalarc-", dir="/tmp")
     if not context._jsc.sc().getCheckpointDir().isDefined():
