@@ -286,3 +286,23 @@ def test_deep_hierarchies_end_and_cycles_fail(spark):
     assert graph.hierarchy_closure(deep, "c", "p").count() == 40 * 41 // 2
     with pytest.raises(ValueError):
         graph.hierarchy_closure(deep.unionByName(spark.sql("SELECT 40L AS c, 0L AS p")), "c", "p")
+
+
+def test_weeks_of_different_months_stay_apart(spark):
+    from types import SimpleNamespace
+
+    from fiscalarc.plans.inputs import indicator_results
+    from fiscalarc.sources.bindings import Tables
+
+    rule = Tables(spark, "/root/testdata/sf0.001").rule
+    kind = rule("indicator_target").filter("week = 1").first()["indicator"]
+    event = spark.sql(f"SELECT '{kind}' AS kind, DATE'2024-01-02' AS day, 1.0D AS value UNION ALL "
+                      f"SELECT '{kind}', DATE'2024-02-02', 5.0D")
+    rows = indicator_results(SimpleNamespace(event=event, rule=rule)).orderBy("week").collect()
+    assert [r["actual"] for r in rows] == [1.0, 5.0] and rows[1]["week"] - rows[0]["week"] == 5
+
+
+def test_quality_scores(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, 1), (1, 1), (2, NULL), (3, 4) AS t(k, v)")
+    row = A.quality_scores(df, {"complete": F.col("v").isNotNull()}, ["k"]).first()
+    assert (row["n_rows"], float(row["complete"]), float(row["uniqueness"])) == (4, 0.75, 0.75)
