@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .text import ALNUM, LOWER, blocks, flat, span_hash, spans
 
-POSITIVES, UNLABELLED, FIT_FEATURES = 3000, 6000, 4096
+POSITIVES, UNLABELLED, FIT_FEATURES = 3000, 5000, 2048
 SELECTED = 4096
 #: a selected feature is in so many positives, and at least this share of its documents are toxic
 MIN_SUPPORT, LEAST_SHARE, LEAST_GAIN = 3, 0.6, 8.0
@@ -112,11 +112,9 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     positive = _distinct(positive)
     keys = select(positive, unlabelled, prior)
     rows = positive + unlabelled
-    flat_keys = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    near = np.minimum(np.searchsorted(keys, flat_keys), max(len(keys) - 1, 0))
-    hit = keys[near] == flat_keys if len(keys) else np.zeros(len(flat_keys), bool)
-    row, column = row[hit], near[hit]
+    columns = [np.flatnonzero(np.isin(keys, r, assume_unique=True)) for r in rows]
+    row = np.repeat(np.arange(len(rows)), [len(c) for c in columns])
+    column = np.concatenate(columns).astype(np.int64)
     n_p = len(positive)
     w, moment, square = (np.zeros(len(keys) + 1) for _ in range(3))
     w[-1] = -2.0

@@ -30,10 +30,15 @@ def mounted(spark: SparkSession, label: str) -> tuple[str, str]:
     return uri, unquote(parts.path)
 
 
+#: rows of whole texts that a worker gets at once; more only costs memory
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the given folder; workers on this machine can import this package from then on."""
+    """A table of the given folder, read in small batches by workers that can import this package."""
     root = str(Path(__file__).resolve().parents[2])
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

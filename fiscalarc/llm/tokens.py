@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from .text import flat, span_hash
 
-KEEP = 1_500_000
+KEEP = 600_000
 #: how the byte-level pre-tokenizer writes bytes: visible ones as they are, the rest from 256 on
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _AS_TEXT = {b: chr(b) for b in _SHOWN} | {
