@@ -182,6 +182,23 @@ def test_portfolio_is_the_best_set(spark):
             assert sum(r["score"] for r in mine if not r["mandatory"]) == best
 
 
+def test_portfolio_of_like_projects_is_the_best_set(spark):
+    """Even costs, an odd ceiling and one value per cost: no bound decides, all are undecided."""
+    rng = random.Random(11)
+    rows = [("i", n, False, D(2 * rng.randint(50, 900)) / 100) for n in range(150)]
+    df = spark.createDataFrame(rows, "inst string, id long, mandatory boolean, total_cost decimal(18,2)")
+    df = df.withColumn("score", (F.col("total_cost") * 3).cast("decimal(18,2)"))
+    room = sum(int(r[3] * 100) for r in rows) // 4 * 2 + 1
+    caps = spark.createDataFrame([("i", D(room) / 100)], "inst string, ceiling decimal(18,2)")
+    reach = 1  # bit s is set if some set costs s cents
+    for r in rows:
+        reach |= reach << int(r[3] * 100)
+    best = (reach & ((1 << (room + 1)) - 1)).bit_length() - 1
+    got = ranking.optimise_portfolio(df, caps, "inst", "id").collect()
+    assert sum(int(r["total_cost"] * 100) for r in got) == best
+    assert all(r["proven"] for r in got)
+
+
 def _jaccard(a, b, n=3):
     def grams(text):
         w = text.lower().split()
