@@ -3,8 +3,8 @@
 Every text node has the path of tags from the root to it. Per path, text length and punctuation are
 summed and divided by the number of nodes; both ratios are smoothed over the paths in page order,
 fused, and held against a threshold: articles stand on few paths with long, punctuated nodes. The
-nodes on the paths above it point to the element that holds the article, and its blocks are the
-result. Elements that by their tag, role or name are not the article (menus, headers, footers,
+article is the lowest element that holds all nodes on the paths above it, or the <article> or <main>
+around them, and all its blocks are the result. Elements that by their tag, role or name are not the article (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, comments) never take part.
 """
 
@@ -49,14 +49,14 @@ TOKEN = re.compile(
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 #: paths count from this share of the largest fused ratio on
 THRESHOLD = 0.1
-#: share of the selected text that the article's element must hold
-COVER = 0.8
+#: the elements that say where the article is
+MARKED = ("article", "main")
 
 
 def _outside(tag: str, attrs: str) -> bool:
     if tag in OUTSIDE:
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body", *MARKED):
         return False
     for key, *values in NAMED.findall(attrs):
         value = "".join(values).lower()
@@ -171,37 +171,50 @@ def main_text(page: str | None) -> str:
     fused = [a * (1 + b) for a, b in zip(_smooth(lengths), _smooth(marks))]
     least = THRESHOLD * max(fused)
     chosen = {path for path, score in zip(stats, fused) if score >= least and path[-1:] != ("a",)}
-    held: dict[tuple[int, ...], int] = {}
-    total = 0
-    for _, path, elements, text in found:
-        if plain[path] in chosen:
-            size = len(text.strip())
-            total += size
-            for depth in range(len(elements) + 1):
-                held[elements[:depth]] = held.get(elements[:depth], 0) + size
-    blocky = {elements[:d] for _, path, elements, _ in found
-              for d in range(len(elements) + 1) if d == 0 or path[d - 1] not in INLINE | {"p"}}
-    home = max((e for e, size in held.items() if e in blocky and size >= COVER * total),
-               key=len, default=())
-    depth = len(home)
+    picked = [(path, elements) for _, path, elements, text in found
+              if plain[path] in chosen and text.strip()]
+    sizes = [len(text.strip()) for _, path, _, text in found if plain[path] in chosen and text.strip()]
+    marked = [any(t in MARKED for t in path) for path, _ in picked]
+    if 2 * sum(n for n, m in zip(sizes, marked) if m) >= sum(sizes):  # the page marks its article
+        picked = [x for x, m in zip(picked, marked) if m]
+        home = _home(picked, MARKED)
+        homes = {home} if home else {e[:1 + min(map(path.index, {*MARKED} & {*path}))]
+                                     for path, e in picked}
+        whole = True
+    else:
+        homes = {_home(picked)}
+        depth = len(next(iter(homes)))
+        whole = depth and picked[0][0][depth - 1] not in ("html", "body")
+    depths = {len(h) for h in homes}
+    inside = [x for x in found if any(x[2][:d] in homes for d in depths)]
+    ends = [x[0] for x in inside if plain[x[1]] in chosen and x[3].strip()]
     own: dict[int, list] = {}
-    for block, path, elements, text in found:
-        if elements[:depth] == home:
-            own.setdefault(block, []).append((path, text))
-    article = any(t in ("article", "main") for t in next(
-        (p[:depth] for _, p, e, _ in found if e[:depth] == home), ()))
+    for block, path, _, text in inside:
+        own.setdefault(block, []).append((path, text))
     out = []
-    for parts in own.values():
+    for block, parts in own.items():
         line = " ".join("".join(text for _, text in parts).split())
         if not line:
             continue
         linked = sum(len(text.strip()) for path, text in parts if "a" in path)
-        if not article and 2 * linked > len(line):
-            continue  # a block of links beside the article
+        if not whole and 2 * linked > len(line) and not ends[0] <= block <= ends[-1]:
+            continue  # the article is not apart from the page: links before and behind it
         out.append(line)
     return "\n\n".join(out)
 
 
+def _home(picked: list, tags: tuple[str, ...] = ()) -> tuple[int, ...]:
+    """Lowest block element (of these tags) around all nodes; empty if there is none."""
+    path, home = picked[0]
+    for _, elements in picked:
+        depth = next((i for i, (a, b) in enumerate(zip(home, elements)) if a != b),
+                     min(len(home), len(elements)))
+        home = home[:depth]
+    while home and (path[len(home) - 1] not in tags if tags else path[len(home) - 1] in INLINE | {"p"}):
+        home = home[:-1]
+    return home
+
+
 def _smooth(values: list[float]) -> list[float]:
     """Weighted mean with the neighbours in page order."""
     out = []

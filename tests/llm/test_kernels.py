@@ -208,3 +208,22 @@ def test_shapes_see_form_not_topic():
 ])
 def test_main_text(page, want):
     assert main_text(page) == want
+
+
+LONG = "A sentence of some words, with marks, and more of it. " * 6
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<article><h1>Title</h1><p>Lead, short.</p><div class=body><p>{LONG}</p></div></article>",
+     ["Title", "Lead, short.", LONG]),
+    (f"<body><div><section><p>{LONG * 6}</p></section><section><p>{LONG}</p></section></div></body>",
+     [LONG * 6, LONG]),
+    (f"<article><p>{LONG}</p></article><article><p>{LONG}</p></article><p>foot</p>", [LONG, LONG]),
+    (f"<body><div class=menu>m</div><div><p>{LONG}</p><p><a href=x>All a link, really.</a></p><p>{LONG}</p>"
+     "<ul><li><a href=y>Reference</a></li></ul></div></body>",
+     [LONG, "All a link, really.", LONG, "Reference"]),
+    (f"<body><ul><li><a href=x>Home</a></ul><p>{LONG}</p><p><a href=x>Linked, yes.</a></p><p>{LONG}</p>"
+     "<ul><li><a href=x>Next</a></ul></body>", [LONG, "Linked, yes.", LONG]),
+])
+def test_main_text_keeps_the_whole_article(page, want):
+    assert main_text(page) == "\n\n".join(" ".join(x.split()) for x in want)
