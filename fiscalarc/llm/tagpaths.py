@@ -5,7 +5,8 @@ summed and divided by the number of nodes; both ratios are smoothed over the pat
 fused, and held against a threshold: articles stand on few paths with long, punctuated nodes. The
 article is the lowest element that holds all nodes on the paths above it, or the <article> or <main>
 around them, and all its blocks are the result. Elements that by their tag, role or name are not the article (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, comments) never take part.
+sidebars, notices, adverts, forms, scripts, comments) do not take part, unless the only <article> or
+<main>, or (for names, roles, forms, hidden elements) more than half of the page's text is in them.
 """
 
 from __future__ import annotations
@@ -28,14 +29,19 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code"
 #: fixed values: elements that are never part of an article
 OUTSIDE = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "menu",
            "dialog", "template", "svg", "math", "canvas", "object", "audio", "video", "map"} | RAW
+NEVER = OUTSIDE - {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "menu",
                  "alert", "alertdialog", "form", "menubar", "toolbar"}
 OUTSIDE_NAMES = re.compile(
-    r"(?<![a-z])(?:ads?|adverts?|advertis\w*|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|"
+    r"ads?|adverts?|advertis\w*|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|"
     r"consent|gdpr|notices?|popup|modal|overlay|alert|nav|navbar|navigation|menu|breadcrumbs?|sidebar|"
-    r"side-bar|footer|header|masthead|comments?|commentlist|respond|repl(?:y|ies)|disqus|social|share|"
+    r"footer|header|masthead|comments?|commentlist|respond|repl(?:y|ies)|disqus|social|share|"
     r"sharing|related|recommend(?:ed|ations?)?|newsletter|subscribe|subscription|widget|pagination|"
-    r"pager|toolbar|login|signup|search|skip-link)(?![a-z])")
+    r"pager|toolbar|login|signup|search")
+#: fixed values: words that may stand beside those in a name of the part itself
+BESIDE = {"site", "page", "main", "top", "bottom", "left", "right", "side", "bar", "primary", "secondary",
+          "global", "list", "box", "area", "section", "block", "container", "wrapper", "wrap", "inner",
+          "links", "items", "form", "posts", "articles", "buttons", "icons", "skip", "link", "bars"}
 #: fixed values: a start tag that ends an open element: the open elements, and what shields them
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
           "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -46,23 +52,37 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>"
     r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<broken>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>", re.DOTALL)
-NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
 #: paths count from this share of the largest fused ratio on
 THRESHOLD = 0.1
 #: the elements that say where the article is
 MARKED = ("article", "main")
 
 
-def _outside(tag: str, attrs: str) -> bool:
-    if tag in OUTSIDE:
-        return True
+def _names_outside(name: str) -> bool:
+    """Whether a class or id names a part that is not the article, by all of its words."""
+    words = [w for w in re.split(r"[-_]+", name) if w]
+    hits = [bool(OUTSIDE_NAMES.fullmatch(w)) for w in words]
+    return (any(hits) or words == ["side", "bar"] or words == ["skip", "link"]) and all(
+        h or w in BESIDE or w.isdigit() for h, w in zip(hits, words))
+
+
+def _outside(tag: str, attrs: str) -> int:
+    """Not part of the article: 3 whatever it holds, 2 by its tag, 1 by its attributes; else 0."""
+    if tag in NEVER:
+        return 3
+    if tag in OUTSIDE and tag != "form":
+        return 2
+    if tag == "form":
+        return 1
     if not attrs or tag in ("html", "body", *MARKED):
-        return False
-    for key, *values in NAMED.findall(attrs):
-        value = "".join(values).lower()
-        if value in OUTSIDE_ROLES if key.lower() == "role" else OUTSIDE_NAMES.search(value):
-            return True
-    return bool(re.search(r"(?<![\w-])hidden(?![\w-])", attrs))
+        return 0
+    for key, *values in ATTRIBUTE.findall(attrs):
+        key, value = key.lower(), "".join(values).lower()
+        if key == "hidden" or (key == "role" and value in OUTSIDE_ROLES) or (
+                key in ("class", "id") and any(map(_names_outside, value.split()))):
+            return 1
+    return 0
 
 
 def nodes(page: str):
@@ -71,8 +91,8 @@ def nodes(page: str):
     ``path`` has the tags; the element path the numbers of the elements; nodes of one block share
     its number.
     """
-    stack: list[tuple[str, int, bool]] = []
-    found, block, element, at, n = [], 0, 0, 0, len(page)
+    stack: list[tuple[str, int, bool, tuple]] = []  # the last: elements around that may be outside
+    found, doubts, block, element, at, n = [], [], 0, 0, 0, len(page)
 
     path: tuple[tuple[str, ...], tuple[int, ...]] | None = None
 
@@ -81,6 +101,7 @@ def nodes(page: str):
         if path is None:
             path = tuple(s[0] for s in stack), tuple(s[1] for s in stack)
         found.append((block, *path, text))
+        doubts.append(stack[-1][3] if stack else ())
 
     look = 0
     while at < n:
@@ -124,12 +145,33 @@ def nodes(page: str):
             continue
         element += 1
         hidden = bool(stack) and stack[-1][2]
-        stack.append((tag, element, hidden or _outside(tag, attrs)))
+        doubt, why = stack[-1][3] if stack else (), _outside(tag, attrs)
+        if why in (1, 2):
+            doubt = (*doubt, (len(stack), element, why))
+        stack.append((tag, element, hidden or why == 3, doubt))
         path = None
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE).search(page, at)
             at = look = end.start() if end else n
-    return found
+    return _of_article(found, doubts) if any(doubts) else found
+
+
+def _of_article(found: list, doubts: list) -> list:
+    """The nodes less those in elements that may be outside, where that leaves the article."""
+    total, held, around, plain = 0, {}, set(), False
+    for (_, path, _, text), doubt in zip(found, doubts):
+        size = len(text.strip())
+        total += size
+        for d in doubt if size else ():
+            held[d] = held.get(d, 0) + size
+        first = next((i for i, t in enumerate(path) if t in MARKED), None)
+        if size and first is not None:
+            plain = plain or not doubt
+            around.update(d for d in doubt if d[0] < first)
+    if plain:  # an article stands outside all of them
+        return [x for x, doubt in zip(found, doubts) if not doubt]
+    spared = around | {d for d, size in held.items() if d[2] == 1 and 2 * size > total}
+    return [x for x, doubt in zip(found, doubts) if spared.issuperset(doubt)]
 
 
 def _end_open(stack: list, tag: str) -> None:

@@ -227,3 +227,24 @@ LONG = "A sentence of some words, with marks, and more of it. " * 6
 ])
 def test_main_text_keeps_the_whole_article(page, want):
     assert main_text(page) == "\n\n".join(" ".join(x.split()) for x in want)
+
+
+@pytest.mark.parametrize("attrs", [
+    "style='overflow:hidden'", "title='hidden gems'", "class='content no-sidebar'", "class=has-sidebar",
+    "class='post comments-open'", "class=article-header", "data-x='class=menu'", "class=sidebar-left",
+    "id=search", "hidden"])
+def test_main_text_inside_a_wrapper(attrs):
+    text = " ".join(LONG.split())
+    for page in (f"<div {attrs}><p>{LONG}</p></div>", f"<div {attrs}><article><p>{LONG}</p></article></div>"):
+        assert main_text(f"<body><div class=menu>Menu, short.</div>{page}</body>") == text
+
+
+@pytest.mark.parametrize("attrs", [
+    "hidden", "HIDDEN=''", "class='x ad'", "id=site-footer", "class=cookie-banner", "class='comments-area'",
+    "role=search", "class=side-bar", "class=related_posts"])
+def test_main_text_without_named_parts(attrs):
+    part = f"<div {attrs}><article><p>{LONG * 3}</p></article></div>"
+    assert main_text(f"<main><p>{LONG}</p></main>{part}") == " ".join(LONG.split())
+    assert main_text(f"<div><p>{LONG}</p></div><div {attrs}><p>{LONG[:60]}</p></div>") == " ".join(LONG.split())
+    page = f"<form><header><main><p>{LONG}</p></main></header></form>"
+    assert main_text(page) == " ".join(LONG.split())
