@@ -8,7 +8,8 @@ once by rank queries; their rows are located by walking to a sampled position. H
 document are merged. Words are compared by 64-bit hash.
 
 Phrases are held by every task, so they are dealt in slices of at most ``SLICE_WORDS`` words by
-``item_id``; the documents are read once per slice and the per-slice rows are joined per document.
+``item_id``; with more than one, the documents are written with a number per row and read once per
+slice, and the per-slice rows are joined by that number.
 """
 
 from __future__ import annotations
@@ -215,14 +216,13 @@ def scan(texts: pa.Array, phrases: Phrases):
 
 
 def _slices(benchmark: DataFrame, window: int):
-    """The test items, at most about ``SLICE_WORDS`` words at a time."""
+    """The number of slices, and the test items, at most about ``SLICE_WORDS`` words at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(
         F.col("item_id").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + total // (6 * SLICE_WORDS)
-    for i in range(n):
-        mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
-        yield Phrases([(r.item_id, r.text) for r in mine.collect()], window)
+    parts = (items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n))
+    return n, (Phrases([(r.item_id, r.text) for r in mine.collect()], window) for mine in parts)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -234,11 +234,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     an id is left out; rows that share a ``doc_id`` are scanned each on its own; an empty benchmark
     hits nothing. Other columns are not read.
     """
-    fields = ("doc_id long, n_words long, n_hit long, items array<string>, "
+    fields = ("row long, doc_id long, n_words long, n_hit long, items array<string>, "
               "spans array<struct<first:long,last:long>>")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n, slices = _slices(benchmark, window)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (
+        F.monotonically_increasing_id() if n > 1 else F.lit(0).cast("long")).alias("row"))
+    if n > 1:  # the number of a row must be the same in every slice
+        base = stored(base, "numbered")
     parts = []
-    for phrases in _slices(benchmark, window):
+    for phrases in slices:
         def run(batches, phrases=phrases):
             for batch in batches:
                 for block in blocks(batch, 1):
@@ -254,10 +258,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
                         merged[t].append({"first": a - int(first[t]), "last": b - int(first[t])})
                     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
                     yield pa.RecordBatch.from_arrays(
-                        [block.column(0), pa.array(n_words), pa.array(n_hit),
+                        [block.column(2), block.column(0), pa.array(n_words), pa.array(n_hit),
                          pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())),
                          pa.array(merged, kind)],
-                        names=["doc_id", "n_words", "n_hit", "items", "spans"])
+                        names=["row", "doc_id", "n_words", "n_hit", "items", "spans"])
         parts.append(base.mapInArrow(run, fields))
     if len(parts) == 1:
         found = parts[0]
@@ -270,12 +274,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 
 def _merged(parts: list[DataFrame]) -> DataFrame:
-    """One row per document from the rows of all slices. Needs a ``doc_id`` per row."""
+    """One row per row of the documents from the rows of all slices."""
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
-    whole = stored(rows, "hits").groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"),
+    whole = stored(rows, "hits").groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     grow = F.aggregate(
         "s", F.expr("cast(array() as array<struct<first:long,last:long>>)"),

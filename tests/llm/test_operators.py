@@ -154,6 +154,19 @@ def test_contamination(spark, docs, corpus, none, monkeypatch):
     assert empty == 0
 
 
+def test_contamination_in_slices_keeps_every_row(spark, monkeypatch):
+    item = [" ".join(f"{c}{i}" for i in range(10)) for c in "abcdefgh"]
+    rows = [(i, f"{x} {item[k]} y {item[k - 1]}") for k in range(8)
+            for i in (None, 1, k) for x in ("x", "x", "z z")]
+    docs = spark.createDataFrame([*rows, (None, None), (1, "")], "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(item)), "item_id long, text string")
+    whole = fmindex.contamination(docs, benchmark).collect()
+    monkeypatch.setattr(fmindex, "SLICE_WORDS", 10)
+    sliced = fmindex.contamination(docs, benchmark).collect()
+    assert len(whole) == len(sliced) == len(rows) + 2
+    assert sorted(map(str, whole)) == sorted(map(str, sliced))
+
+
 def test_packing(docs, corpus, none):
     import tokenizers
 
