@@ -7,20 +7,23 @@ negative the step goes the other way, so the classifier does not learn unlabelle
 heart. The prior is the share of toxic documents among the labelled training ones.
 
 The fit reads a bounded sample, the first ``POSITIVES`` and ``UNLABELLED`` documents by hash of
-``doc_id`` with at most ``FIT_FEATURES`` features of each (the smallest hashes); scoring reads every
-whole text.
+``doc_id``, each of them whole: Spark counts the documents of every feature, and only the selected
+features of each text reach the driver. Scoring reads every whole text.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
 from .text import ALNUM, LOWER, blocks, flat, span_hash, spans
 
-POSITIVES, UNLABELLED, FIT_FEATURES = 3000, 5000, 2048
+POSITIVES, UNLABELLED = 3000, 5000
 SELECTED = 4096
 #: a selected feature is in so many positives, and at least this share of its documents are toxic
 MIN_SUPPORT, LEAST_SHARE, LEAST_GAIN = 3, 0.6, 8.0
@@ -45,25 +48,62 @@ def _sample(rows: DataFrame, n: int) -> DataFrame:
     return rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
-def _fit_rows(docs: DataFrame, wanted: DataFrame) -> list[np.ndarray]:
-    """Distinct features of the wanted documents, at most ``FIT_FEATURES`` each."""
+def _features_once(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of the distinct features of each text, in order."""
+    key, row = features(texts)
+    order = np.lexsort((key, row))
+    key, row = key[order], row[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    return key[new], row[new]
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, once: bool) -> DataFrame:
+    """The texts of the wanted documents, written; of those with the same features one, if ``once``."""
     def run(batches):
         for batch in batches:
             for block in blocks(batch, 0):
-                key, row = features(block.column(0))
-                order = np.lexsort((key, row))
-                key, row = key[order], row[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-                key, row = key[new], row[new]
+                key, row = _features_once(block.column(0))
                 first = np.searchsorted(row, np.arange(block.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(
-                    [key[a:min(b, a + FIT_FEATURES)].tobytes() for a, b in zip(first, first[1:])],
-                    pa.binary())], names=["f"])
+                yield pa.RecordBatch.from_arrays(
+                    [block.column(0), pa.array([hashlib.sha256(key[a:b].tobytes()).digest()
+                                                for a, b in zip(first, first[1:])], pa.binary())],
+                    names=["text", "same"])
 
     # at most POSITIVES or UNLABELLED ids
     mine = docs.join(F.broadcast(wanted), "doc_id", "left_semi").select("text")
-    return [np.frombuffer(r.f, np.uint64) for r in mine.mapInArrow(run, "f binary").collect()]
+    if once:
+        mine = mine.mapInArrow(run, "text string, same binary").dropDuplicates(["same"]).select("text")
+    return stored(mine, "fit-texts")
+
+
+def _document_counts(texts: DataFrame, name: str) -> DataFrame:
+    """Per feature (its hash as a signed number), the number of texts that have it."""
+    def run(batches):
+        for batch in batches:
+            for block in blocks(batch, 0):
+                key, n = np.unique(_features_once(block.column(0))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)],
+                                                 names=["key", "n"])
+
+    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias(name))
+
+
+def _columns(texts: DataFrame, keys: np.ndarray) -> list[np.ndarray]:
+    """Per text, which of the selected features it has."""
+    def run(batches):
+        for batch in batches:
+            for block in blocks(batch, 0):
+                key, row = _features_once(block.column(0))
+                near = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                hit = keys[near] == key if len(keys) else np.zeros(len(key), bool)
+                near, row = near[hit].astype(np.int16), row[hit]
+                first = np.searchsorted(row, np.arange(block.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(
+                    [near[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["f"])
+
+    found = sorted(bytes(r.f) for r in texts.mapInArrow(run, "f binary").collect())
+    return [np.frombuffer(f, np.int16) for f in found]
 
 
 class Model:
@@ -84,15 +124,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def select(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
+def select(key: np.ndarray, p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, prior: float
+           ) -> np.ndarray:
     """The features that tell positives most, by log-likelihood ratio (at least ``LEAST_GAIN``),
-    of those whose documents are mostly toxic by the class prior."""
-    key, p = np.unique(np.concatenate(positive), return_counts=True)
-    other, n = np.unique(np.concatenate([np.empty(0, np.uint64), *unlabelled]), return_counts=True)
-    at = np.minimum(np.searchsorted(other, key), max(len(other) - 1, 0))
-    u = np.where(other[at] == key, n[at], 0) if len(other) else np.zeros(len(key))
-    a, b = p / len(positive), u / max(len(unlabelled), 1)
-    both = (p + u) / (len(positive) + len(unlabelled))
+    of those whose documents are mostly toxic by the class prior; ``p`` of the ``n_p`` positives and
+    ``u`` of the ``n_u`` unlabelled documents have the feature."""
+    a, b = p / n_p, u / max(n_u, 1)
+    both = (p + u) / (n_p + n_u)
     gain = p * np.log(a / both) + np.where(u > 0, u * np.log(np.maximum(b, 1e-12) / both), 0)
     gain[(a * prior < LEAST_SHARE * b) | (p < MIN_SUPPORT) | (gain < LEAST_GAIN)] = 0
     best = np.argsort(-gain, kind="stable")[:SELECTED]
@@ -104,15 +142,25 @@ def _distinct(rows: list[np.ndarray]) -> list[np.ndarray]:
     return [np.frombuffer(b, np.uint64) for b in sorted({r.tobytes() for r in rows})]
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400,
-        rate: float = 0.1, decay: float = 2e-4) -> Model:
-    """Adam on the non-negative risk with logistic loss, whole sample per step."""
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
+    """Selection and descent for the features of texts at hand."""
     if not positive:
         return Model()
     positive = _distinct(positive)
-    keys = select(positive, unlabelled, prior)
-    rows = positive + unlabelled
-    columns = [np.flatnonzero(np.isin(keys, r, assume_unique=True)) for r in rows]
+    key, p = np.unique(np.concatenate(positive), return_counts=True)
+    other, n = np.unique(np.concatenate([np.empty(0, np.uint64), *unlabelled]), return_counts=True)
+    at = np.minimum(np.searchsorted(other, key), max(len(other) - 1, 0))
+    u = np.where(other[at] == key, n[at], 0) if len(other) else np.zeros(len(key))
+    keys = select(key, p, u, len(positive), len(unlabelled), prior)
+    return descend(keys, *([np.flatnonzero(np.isin(keys, r, assume_unique=True)) for r in rows]
+                           for rows in (positive, unlabelled)), prior)
+
+
+def descend(keys: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
+            steps: int = 400, rate: float = 0.1, decay: float = 2e-4) -> Model:
+    """Adam on the non-negative risk with logistic loss, whole sample per step; a document is the
+    places of its features in ``keys``."""
+    columns = rows = positive + unlabelled
     row = np.repeat(np.arange(len(rows)), [len(c) for c in columns])
     column = np.concatenate(columns).astype(np.int64)
     n_p = len(positive)
@@ -146,9 +194,20 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column) -> Model:
     rate = labels.agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"]
     if not rate:
         return Model()
-    positive = _fit_rows(docs, _sample(labels.filter("toxic = 1"), POSITIVES))
-    unlabelled = _fit_rows(docs, _sample(docs, UNLABELLED))
-    return fit(positive, unlabelled, float(rate))
+    positive = _texts(docs, _sample(labels.filter("toxic = 1"), POSITIVES), once=True)
+    unlabelled = _texts(docs, _sample(docs, UNLABELLED), once=False)
+    n_p, n_u, prior = positive.count(), unlabelled.count(), float(rate)
+    if not n_p:
+        return Model()
+    # select() takes none of the features left out here
+    mostly = F.col("p") / n_p * prior >= LEAST_SHARE * F.col("u") / max(n_u, 1) * (1 - 1e-9)
+    seen = _document_counts(positive, "p").filter(F.col("p") >= MIN_SUPPORT).join(
+        _document_counts(unlabelled, "u"), "key", "left").fillna(0, ["u"]).filter(mostly).toArrow()
+    key, p, u = (seen.column(c).to_numpy() for c in ("key", "p", "u"))
+    key = key.astype(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    keys = select(key[order], p[order], u[order], n_p, n_u, prior)
+    return descend(keys, _columns(positive, keys), _columns(unlabelled, keys), prior)
 
 
 def score(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,6 +319,21 @@ def test_toxicity(spark, docs, none):
     assert nnpu.score(none, nnpu.train(none, labels.limit(0), F.lit(True)), F.col("doc_id")).count() == 0
 
 
+def test_toxicity_of_long_texts(spark):
+    """The telling words have the largest hashes of texts with many features."""
+    every = [f"w{i}" for i in range(2600)]
+    order = sorted(every, key=lambda w: nnpu.features(pa.array([w]))[0].min())
+    filler, bad = order[:-5], order[-5:]
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.sample(filler, 2500) + (bad if i < 60 else []))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(0, 300, 2)], "doc_id long, toxic int")
+    model = nnpu.train(docs, labels, F.lit(True))
+    found = nnpu.score(docs, model, F.col("doc_id")).filter("predicted = 1").collect()
+    assert {r.doc_id for r in found} == set(range(60))
+    assert set(model.keys.tolist()) >= set(nnpu.features(pa.array(bad))[0].tolist())
+
+
 def test_resampling(spark, none):
     rng = random.Random(2)
     good = [" ".join(rng.choices(["the", "cat,", "sat.", "On", "mat"], k=60)) for _ in range(60)]
