@@ -27,6 +27,8 @@ from .tokens import coder
 BLOCK_IDS = 128
 FILE_BYTES = 16 << 20
 MAGIC = int.from_bytes(b"S8B-IDS1", "little")
+#: added to the size of a document without an id
+NO_ID = np.uint64(1 << 63)
 #: ids per word and bits per id, by selector
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12),
              (4, 15), (3, 20), (2, 30)]
@@ -88,17 +90,22 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def segment(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
+def segment(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, null: np.ndarray | None = None
+            ) -> bytes:
+    """``null`` marks the documents without an id: ``NO_ID`` is added to their sizes."""
+    sizes = sizes.astype("<u8")
+    if null is not None:
+        sizes[null] |= NO_ID
     words, offsets = encode(ids)
     if len(offsets) % 2:
         offsets = np.append(offsets, offsets[-1])
     head = np.array([MAGIC, len(doc_ids), len(ids), len(words)], "<u8")
-    return b"".join([head.tobytes(), doc_ids.astype("<i8").tobytes(), sizes.astype("<u8").tobytes(),
+    return b"".join([head.tobytes(), doc_ids.astype("<i8").tobytes(), sizes.tobytes(),
                      offsets.astype("<u4").tobytes(), words.astype("<u8").tobytes()])
 
 
 def segments(content: bytes):
-    """(doc_ids, ids per document, ids) of each segment of a file."""
+    """(doc_ids as an Arrow array, ids per document, ids) of each segment of a file."""
     at = 0
     while at < len(content):
         magic, n_docs, n_ids, n_words = np.frombuffer(content, "<u8", 4, at).tolist()
@@ -106,20 +113,21 @@ def segments(content: bytes):
             raise ValueError("not a file of packed token ids")
         at += 32
         docs = np.frombuffer(content, "<i8", n_docs, at)
-        sizes = np.frombuffer(content, "<u8", n_docs, at + 8 * n_docs).astype(np.int64)
+        sizes = np.frombuffer(content, "<u8", n_docs, at + 8 * n_docs)
+        null, sizes = sizes & NO_ID != 0, (sizes & ~NO_ID).astype(np.int64)
         at += 16 * n_docs
         n_off = -(-n_ids // BLOCK_IDS) + 1
         offsets = np.frombuffer(content, "<u4", n_off, at)
         at += 4 * (n_off + n_off % 2)
-        yield docs, sizes, decode(np.frombuffer(content, "<u8", n_words, at), offsets, n_ids)
+        yield pa.array(docs, pa.int64(), mask=null), sizes, decode(np.frombuffer(content, "<u8", n_words, at), offsets, n_ids)
         at += 8 * n_words
 
 
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[str, DataFrame]:
     """Ids of every whole text, each ended by ``end_id``, in files in ascending ``doc_id`` order.
 
-    Returns the folder and one row per file: part, name, n_docs, n_ids. Null text is empty; a null
-    ``doc_id`` is not allowed (it has no place in the order). Rows that share a ``doc_id`` follow
+    Returns the folder and one row per file: part, name, n_docs, n_ids. Null text is empty; rows
+    without a ``doc_id`` come first and are read back without one. Rows that share a ``doc_id`` follow
     each other, ordered by text. A file is written whole, then renamed, so a task that runs again
     only repeats it.
     """
@@ -146,8 +154,9 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[str, DataFr
                 ids, at = coder(tokenizer).column(block.column(1))
                 rows = len(at) - 1
                 with_end = np.insert(ids, at[1:], np.uint32(end_id))
-                held.append(segment(block.column(0).to_numpy(zero_copy_only=False),
-                                    np.diff(at) + 1, with_end))
+                doc_id = block.column(0)
+                held.append(segment(doc_id.fill_null(0).to_numpy(), np.diff(at) + 1, with_end,
+                                    doc_id.is_null().to_numpy(zero_copy_only=False)))
                 size, n_docs, n_ids = size + len(held[-1]), n_docs + rows, n_ids + len(with_end)
                 if size >= FILE_BYTES:
                     yield flush()
@@ -178,7 +187,7 @@ def read_ids(spark, uri: str, files: DataFrame) -> DataFrame:
                     raw, stops = ids.astype("<u4").tobytes(), (4 * end).tolist()
                     sums = [zlib.crc32(raw[a:b]) for a, b in zip([0, *stops], stops)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(docs), pa.string()), pa.array(docs, pa.int64()),
+                        [pa.array([name] * len(docs), pa.string()), docs,
                          pa.array(before + end - sizes), pa.array(sizes), pa.array(sums, pa.int64())],
                         names=["name", "doc_id", "at", "n_tokens", "ids_crc32"])
                     before += int(end[-1]) if len(end) else 0

@@ -213,6 +213,16 @@ def test_token_files(spark, docs, corpus, none):
     assert simple8b.read_ids(spark, uri, files).count() == 0
 
 
+def test_token_files_of_rows_without_an_id(spark):
+    big = 2**53 + 1
+    rows = [(None, "b c"), (big, "a"), (None, None), (-big, "d e f"), (big + 1, "g"), (None, "a")]
+    uri, files = simple8b.write_ids(
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), tokenizer_path(), 2)
+    found = sorted(simple8b.read_ids(spark, uri, files).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [None, None, None, -big, big, big + 1]
+    assert found[0].n_tokens == 1
+
+
 def test_quality_rules(docs, corpus, none):
     plain = re.compile(r"[^\x20\x09-\x0D]+")
     texts = {r[0]: r[1] or "" for r in corpus}
