@@ -4,9 +4,10 @@ Known toxic documents are the positives; all other training documents are unlabe
 label. A linear classifier over the presence of words and word beginnings minimises the risk that
 the class prior corrects: pi * R+(p) + max(0, R-(u) - pi * R-(p)). When the second part would turn
 negative the step goes the other way, so the classifier does not learn unlabelled toxic texts by
-heart. The prior is the share of toxic documents among the labelled training ones.
+heart. Equal texts count once on both sides and in the prior, which is the share of toxic ones among
+the labelled training texts at hand.
 
-The fit reads a bounded sample, the first ``POSITIVES`` and ``UNLABELLED`` documents by hash of
+The fit reads a bounded sample, the first ``POSITIVES`` and ``UNLABELLED`` texts by hash of
 ``doc_id``, each of them whole: Spark counts the documents of every feature, and only the selected
 features of each text reach the driver. Scoring reads every whole text.
 """
@@ -26,7 +27,7 @@ from .text import ALNUM, LOWER, blocks, flat, span_hash, spans
 POSITIVES, UNLABELLED = 3000, 5000
 SELECTED = 4096
 #: a selected feature is in so many positives, and at least this share of its documents are toxic
-MIN_SUPPORT, LEAST_SHARE, LEAST_GAIN = 3, 0.6, 8.0
+MIN_SUPPORT, LEAST_SHARE = 3, 0.6
 #: a word gives itself and its first bytes
 BEGINNINGS = (4, 5, 6)
 
@@ -45,7 +46,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sample(rows: DataFrame, n: int) -> DataFrame:
-    return rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    return rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
 def _features_once(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,8 +59,8 @@ def _features_once(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return key[new], row[new]
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, once: bool) -> DataFrame:
-    """The texts of the wanted documents, written; of those with the same features one, if ``once``."""
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of the wanted documents, written; of those with the same features one."""
     def run(batches):
         for batch in batches:
             for block in blocks(batch, 0):
@@ -72,9 +73,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, once: bool) -> DataFrame:
 
     # at most POSITIVES or UNLABELLED ids
     mine = docs.join(F.broadcast(wanted), "doc_id", "left_semi").select("text")
-    if once:
-        mine = mine.mapInArrow(run, "text string, same binary").dropDuplicates(["same"]).select("text")
-    return stored(mine, "fit-texts")
+    once = mine.mapInArrow(run, "text string, same binary").groupBy("same").agg(F.min("text").alias("text"))
+    return stored(once.select("text"), "fit-texts")
 
 
 def _document_counts(texts: DataFrame, name: str) -> DataFrame:
@@ -126,13 +126,15 @@ class Model:
 
 def select(key: np.ndarray, p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, prior: float
            ) -> np.ndarray:
-    """The features that tell positives most, by log-likelihood ratio (at least ``LEAST_GAIN``),
-    of those whose documents are mostly toxic by the class prior; ``p`` of the ``n_p`` positives and
-    ``u`` of the ``n_u`` unlabelled documents have the feature."""
+    """The features that tell positives most, by log-likelihood ratio, of those whose documents are
+    mostly toxic by the class prior; ``p`` of the ``n_p`` positives and ``u`` of the ``n_u``
+    unlabelled documents have the feature. A ratio must exceed what the best of so many candidates
+    would reach by chance, so small samples learn from few words and large ones stay strict."""
     a, b = p / n_p, u / max(n_u, 1)
     both = (p + u) / (n_p + n_u)
     gain = p * np.log(a / both) + np.where(u > 0, u * np.log(np.maximum(b, 1e-12) / both), 0)
-    gain[(a * prior < LEAST_SHARE * b) | (p < MIN_SUPPORT) | (gain < LEAST_GAIN)] = 0
+    gain[(a * prior < LEAST_SHARE * b) | (p < MIN_SUPPORT)] = 0
+    gain[gain < np.log(max(2, np.count_nonzero(gain)))] = 0
     best = np.argsort(-gain, kind="stable")[:SELECTED]
     return np.sort(key[best[gain[best] > 0]])
 
@@ -157,9 +159,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
 
 
 def descend(keys: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
-            steps: int = 400, rate: float = 0.1, decay: float = 2e-4) -> Model:
-    """Adam on the non-negative risk with logistic loss, whole sample per step; a document is the
-    places of its features in ``keys``."""
+            steps: int = 600, rate: float = 0.1, decay: float = 2e-5) -> Model:
+    """Adam on the non-negative risk with sigmoid loss, whole sample per step; a document is the
+    places of its features in ``keys``. The loss is bounded: surely toxic texts cannot turn the
+    second part of the risk negative by their scores alone, which would lift all other scores."""
     columns = rows = positive + unlabelled
     row = np.repeat(np.arange(len(rows)), [len(c) for c in columns])
     column = np.concatenate(columns).astype(np.int64)
@@ -168,16 +171,16 @@ def descend(keys: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.nd
     w[-1] = -2.0
     for step in range(1, steps + 1):
         z = np.bincount(row, weights=w[column], minlength=len(rows)) + w[-1]
-        up, down = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(z))
-        minus = np.logaddexp(0, z)
+        minus = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        slope = minus * (1 - minus)
         negative = minus[n_p:].mean() - prior * minus[:n_p].mean() if unlabelled else 0.0
         g = np.zeros(len(rows))
         if negative >= 0:
-            g[:n_p] = prior * (-down[:n_p] - up[:n_p]) / n_p
-            g[n_p:] = up[n_p:] / max(len(unlabelled), 1)
+            g[:n_p] = -2 * prior * slope[:n_p] / n_p
+            g[n_p:] = slope[n_p:] / max(len(unlabelled), 1)
         else:
-            g[:n_p] = prior * up[:n_p] / n_p
-            g[n_p:] = -up[n_p:] / max(len(unlabelled), 1)
+            g[:n_p] = prior * slope[:n_p] / n_p
+            g[n_p:] = -slope[n_p:] / max(len(unlabelled), 1)
         grad = np.append(np.bincount(column, weights=g[row], minlength=len(keys)), g.sum()) \
             + decay * np.append(w[:-1], 0)
         moment = 0.9 * moment + 0.1 * grad
@@ -189,16 +192,17 @@ def descend(keys: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.nd
 def train(docs: DataFrame, labels: DataFrame, in_training: Column) -> Model:
     """Fit on the rows for which ``in_training`` (an expression over doc_id) holds."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(in_training)
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(
-        in_training & F.col("toxic").isNotNull())
-    rate = labels.agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"]
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(in_training)
+    known = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = stored(docs.filter("doc_id is not null").join(known, "doc_id", "left").groupBy(
+        F.xxhash64("text").alias("same")).agg(F.min("doc_id").alias("doc_id"),
+                                              F.max("toxic").alias("toxic")), "texts-once")
+    rate = texts.agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"]
     if not rate:
         return Model()
-    positive = _texts(docs, _sample(labels.filter("toxic = 1"), POSITIVES), once=True)
-    unlabelled = _texts(docs, _sample(docs, UNLABELLED), once=False)
+    positive = _texts(docs, _sample(texts.filter("toxic = 1"), POSITIVES))
+    unlabelled = _texts(docs, _sample(texts, UNLABELLED))
     n_p, n_u, prior = positive.count(), unlabelled.count(), float(rate)
-    if not n_p:
-        return Model()
     # select() takes none of the features left out here
     mostly = F.col("p") / n_p * prior >= LEAST_SHARE * F.col("u") / max(n_u, 1) * (1 - 1e-9)
     seen = _document_counts(positive, "p").filter(F.col("p") >= MIN_SUPPORT).join(
