@@ -194,9 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column) -> Model:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(in_training)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(in_training)
     known = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = stored(docs.filter("doc_id is not null").join(known, "doc_id", "left").groupBy(
-        F.xxhash64("text").alias("same")).agg(F.min("doc_id").alias("doc_id"),
-                                              F.max("toxic").alias("toxic")), "texts-once")
+    hashed = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("same"))
+    texts = stored(hashed.join(known, "doc_id", "left").groupBy("same").agg(
+        F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "texts-once")
     rate = texts.agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"]
     if not rate:
         return Model()
