@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    alignment,
     divergence,
     ecoc,
+    fingerprints,
     fmindex,
     jaccard,
     kneserney,
+    merkle,
     nnpu,
     packing,
     resampling,
@@ -104,6 +107,24 @@ def op7_word_model(spark: SparkSession, sf_dir: str) -> DataFrame:
                            F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"))
 
 
+@_query
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), remainder(5) == 0).drop("source")
+
+
+@_query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.alignment(table(spark, sf_dir, "documents"), tokenizer_path(),
+                               public_tokenizers.path("piece_bpe_32k.model"))
+
+
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE["op2_near_copies"] = f"""
@@ -195,3 +216,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 ORACLE["op8_quality_rules"] = _divergence_sql()
+
+
+def _encoded_sql(field: str) -> str:
+    return f"""CASE WHEN {field} IS NULL THEN '-' ELSE CAST(strlen(CAST({field} AS VARCHAR)) AS VARCHAR)
+    || ':' || CAST({field} AS VARCHAR) END"""
+
+
+def _merkle_sql() -> str:
+    fields = " || ".join(_encoded_sql(f) for f in merkle.FIELDS)
+    lowered = fields.replace("CAST(text AS VARCHAR)", f"translate(text, {_LOWER})")
+    # crc32 bit by bit: eight steps for each character of the decimal id
+    crc = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda a, x: xor(xor(a, x) >> 1,
+    CASE WHEN xor(a, x) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"""
+
+    def grown(name: str, key: str) -> str:
+        return f"""SELECT {key}, max(level) + 1, place // 16, sha256(string_agg(hash, '' ORDER BY place)) FROM (
+    SELECT *, count(*) OVER (PARTITION BY {key}) AS n FROM {name}) WHERE n > 1 GROUP BY {key}, place // 16"""
+
+    def folded(name: str, nodes: str, key: str) -> str:
+        mine = f"{name}.place // CAST(pow(16, {name}.level) AS BIGINT)"
+        return f"""SELECT {name}.id, {name}.k, {name}.place, {name}.level + 1, sha256(string_agg(
+      CASE WHEN s.place = {mine} THEN {name}.h ELSE s.hash END, '' ORDER BY s.place)),
+    proof || coalesce(string_agg(s.hash, '' ORDER BY s.place) FILTER (s.place <> {mine}), '')
+  FROM {name} JOIN {nodes} s ON s.{key} = {name}.k AND s.level = {name}.level
+    AND s.place // 16 = ({mine}) // 16
+  JOIN (SELECT {key} AS k, max(level) AS top FROM {nodes} GROUP BY 1) t ON t.k = {name}.k
+    AND {name}.level < t.top
+  GROUP BY {name}.id, {name}.k, {name}.place, {name}.level, {name}.proof"""
+
+    return f"""
+WITH RECURSIVE e AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS tree,
+    sha256({fields}) AS leaf, CASE WHEN {crc} % 5 = 0 THEN sha256({lowered}) ELSE sha256({fields}) END AS own
+  FROM documents),
+p AS (SELECT *, row_number() OVER () AS id,
+    row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM e),
+lv(tree, level, place, hash) AS (SELECT tree, 0, place, leaf FROM p UNION ALL {grown("lv", "tree")}),
+sub AS (SELECT tree, arg_max(hash, level) AS subroot, row_number() OVER (ORDER BY tree) - 1 AS upper
+  FROM lv GROUP BY tree),
+up(one, level, place, hash) AS (SELECT 1, 0, upper, subroot FROM sub UNION ALL {grown("up", "one")}),
+f(id, k, place, level, h, proof) AS (SELECT id, tree, place, 0, own, '' FROM p UNION ALL {folded("f", "lv", "tree")}),
+g(id, k, place, level, h, proof) AS (SELECT id, 1, upper, 0, arg_max(h, level), arg_max(proof, level)
+  FROM f JOIN sub ON sub.tree = f.k GROUP BY id, upper UNION ALL {folded("g", "up", "one")}),
+z AS (SELECT id, arg_max(h, level) AS folded_root, arg_max(proof, level) AS proof FROM g GROUP BY id)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN sub USING (tree) JOIN z USING (id), (SELECT arg_max(hash, level) AS root FROM up)"""
+
+
+ORACLE["op12_merkle"] = _merkle_sql()
