@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import windowed
+from ..session import cut
+from .graph import hierarchy_closure
 
 MONEY = "decimal(18,2)"
 
@@ -168,16 +170,55 @@ def shift_schedule(schedule: DataFrame, shifts: DataFrame, ident: str, keys: lis
                                             F.sum("after").cast(MONEY).alias("after"))
 
 
-def propagate_revision(children: DataFrame, revisions: DataFrame, parent: str, child: str,
-                       amount: str) -> DataFrame:
-    """Version an envelope change and pass it down pro rata to the envelopes below."""
-    totals = children.groupBy(parent).agg(F.sum(amount).cast("decimal(20,2)").alias("_t"))
-    share = F.try_divide(F.col(amount).cast("double"), F.col("_t").cast("double"))
-    j = children.join(totals, parent).join(revisions, parent)
-    return j.select(parent, child, (F.col("version") + 1).alias("version"),
-                    F.col(amount).alias("before"),
-                    F.round(F.col(amount).cast("double") + F.col("change").cast("double") * share, 2)
-                    .alias("after"))
+def propagate_revision(amounts: DataFrame, edges: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Pass envelope changes down to everything below: (node, n_revisions, before, after).
+
+    ``amounts`` has node and amount of the lowest envelopes, ``edges`` child and parent of the hierarchy,
+    ``revisions`` node and change, at any level; several of one node add up. A change reaches the lowest
+    envelopes below (or at) its node pro rata to their amounts, in whole cents: the rounded running
+    share less that of the one before, in order of ids, so the parts add up to the change. Negative
+    amounts take no part; if none is positive, all take equal parts. Nodes above the lowest envelopes
+    have the sums of what is below them; ``n_revisions`` counts the revised nodes at or above a node.
+    Nodes no change touches are left out. A revised node may have any number of envelopes below it.
+    """
+    lowest = amounts.groupBy("node").agg(F.sum("amount").cast(MONEY).alias("amount"))
+    change = revisions.groupBy(F.col("node").alias("revised")).agg(F.sum("change").cast(MONEY).alias("change"))
+    closure = hierarchy_closure(edges, "child", "parent").select("descendant", "ancestor").distinct()
+    nodes = edges.select(F.explode(F.array("child", "parent")).alias("descendant")).unionByName(
+        lowest.select(F.col("node").alias("descendant"))).filter("descendant is not null").distinct()
+    within = cut(closure.unionByName(nodes.select("descendant", F.col("descendant").alias("ancestor"))))
+    hit = within.join(change, F.col("ancestor") == F.col("revised"))
+    parts = hit.select(F.col("descendant").alias("node"), "revised", "change").join(lowest, "node")
+    weight = F.greatest(F.lit(0).cast("long"), (F.col("amount") * 100).cast("long"))
+    weighed = windowed(parts.withColumn("_w", weight), ["revised"], [F.col("node")],
+                       _all=("total", "_w"), _upto=("sum", "_w"), _n=("size",), _i=("row_number",))
+    none = F.col("_all") == 0
+    whole = F.when(none, F.col("_n")).otherwise(F.col("_all")).cast("decimal(19,0)")
+    cents = F.abs(F.col("change") * 100).cast("decimal(18,0)")
+
+    def upto(place: Column) -> Column:
+        # rounded to the nearest cent, halves up
+        return _int_div(2 * cents * place.cast("decimal(19,0)") + whole, 2 * whole)
+
+    here = F.when(none, F.col("_i")).otherwise(F.col("_upto"))
+    before = F.when(none, F.col("_i") - 1).otherwise(F.col("_upto") - F.col("_w"))
+    share = F.sign(F.col("change")).cast("long") * (upto(here) - upto(before))
+    shares = weighed.select("node", (share.cast("decimal(18,0)") / 100).cast(MONEY).alias("share")).groupBy(
+        "node").agg(F.sum("share").cast(MONEY).alias("share"))
+    levels = lowest.join(shares, "node", "left").select(
+        F.col("node").alias("descendant"), "amount", F.coalesce("share", F.lit(0).cast(MONEY)).alias("share"),
+        F.col("share").isNotNull().alias("_hit"))
+    sums = levels.join(within, "descendant").groupBy(F.col("ancestor").alias("node")).agg(
+        F.sum("amount").cast(MONEY).alias("before"),
+        F.sum(F.col("amount") + F.col("share")).cast(MONEY).alias("after"), F.max("_hit").alias("_hit"))
+    counted = hit.groupBy(F.col("descendant").alias("node")).agg(F.count(F.lit(1)).alias("_k"))
+    return sums.filter("_hit").join(counted, "node", "left").select(
+        "node", F.coalesce("_k", F.lit(0)).alias("n_revisions"), "before", "after")
+
+
+def _int_div(a: Column, b: Column) -> Column:
+    """Whole part of the quotient of two decimals without digits after the point."""
+    return F.call_function("div", a, b)
 
 
 def contract_amendments(amendments: DataFrame, contracts: DataFrame, key: str,

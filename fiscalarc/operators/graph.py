@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalise_label
@@ -24,84 +24,242 @@ def build_graph(parts: list[tuple[DataFrame, str, str, str, str, str, float]]) -
     return nodes, edges
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def hierarchy_closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
-    """Ancestor–descendant pairs with depth. Each round climbs one level from the frontier until
-    none is left; rows grow with nodes × depth only. A node above itself is an error."""
-    up = edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p"))
-    level = up.select(F.col("_c").alias("descendant"), F.col("_p").alias("ancestor"),
-                      F.lit(1).alias("depth"))
-    levels = []
-    while not level.isEmpty():
-        if not level.filter("descendant = ancestor").isEmpty():
+    """Ancestor–descendant pairs with depth, by doubling: the pairs up to twice the known depth are the
+    deepest known ones followed by all known ones, so a hierarchy of depth d takes log2(d) rounds and
+    every pair is made once. A node above itself is an error; a node may have several parents, and
+    then a pair has a row per path."""
+    known = cut(edges.select(F.col(child).alias("descendant"), F.col(parent).alias("ancestor"),
+                             F.lit(1).alias("depth")).filter(
+        F.col("descendant").isNotNull() & F.col("ancestor").isNotNull()))
+    reach = 1
+    while True:
+        if not known.filter("descendant = ancestor").isEmpty():
             raise ValueError("hierarchy is cyclic")
-        levels.append(level)
-        level = cut(level.join(up, F.col("ancestor") == F.col("_c")).select(
-            "descendant", F.col("_p").alias("ancestor"), F.lit(len(levels) + 1).alias("depth")))
-    return reduce(DataFrame.unionByName, levels) if levels else level
+        deepest = known.filter(F.col("depth") == reach).select(
+            "descendant", F.col("ancestor").alias("_via"))
+        more = cut(deepest.join(known.select(F.col("descendant").alias("_via"), "ancestor", "depth"), "_via")
+                   .select("descendant", "ancestor", (F.col("depth") + reach).alias("depth")))
+        if more.isEmpty():
+            return known
+        # both parts are written: nothing is computed twice
+        known, reach = known.unionByName(more), 2 * reach
+
+
+def subtree_intervals(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node, pre, post) of every node of a forest: what lies below a node, and the node itself, are
+    the nodes with ``pre`` between its ``pre`` and ``post``.
+
+    Siblings and roots ascend by id. A node's place is the sum, over it and all above it, of one and
+    the sizes of the earlier siblings; sizes come from the closure, sums of siblings from a window
+    that a parent of very many children does not slow down.
+    """
+    closure = hierarchy_closure(edges, child, parent)
+    links = edges.select(F.col(child).alias("node"), F.col(parent).alias("_up")).filter(
+        F.col("node").isNotNull() & F.col("_up").isNotNull())
+    roots = links.select(F.col("_up").alias("node")).distinct().join(
+        links.select("node"), "node", "left_anti").withColumn("_up", F.lit(None).cast(links.schema["_up"].dataType))
+    size = closure.groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("_below"))
+    sized = cut(links.unionByName(roots).join(size, "node", "left").withColumn(
+        "size", F.coalesce("_below", F.lit(0)) + 1).drop("_below"))
+    placed = cut(windowed(sized, ["_up"], [F.col("node")], _earlier=("sum_before", "size")).select(
+        "node", "size", (F.coalesce("_earlier", F.lit(0)) + F.when(F.col("_up").isNull(), 0).otherwise(1))
+        .alias("_step")))
+    above = closure.join(placed.select(F.col("node").alias("ancestor"), "_step"), "ancestor").groupBy(
+        F.col("descendant").alias("node")).agg(F.sum("_step").alias("_above"))
+    pre = F.col("_step") + F.coalesce("_above", F.lit(0))
+    return placed.join(above, "node", "left").select("node", pre.alias("pre"),
+                                                     (pre + F.col("size") - 1).alias("post"))
 
 
 def lineage_trace(edges: DataFrame, starts: DataFrame, direction: str = "up") -> DataFrame:
-    """Everything upstream or downstream of the start nodes with the path that leads there.
+    """Everything upstream or downstream of the start nodes: (start, node, previous, depth).
 
-    A step that would return to a node of its own path is dropped, so every path ends.
+    A round goes one step from the nodes the last one found and keeps those not reached before, so
+    rows grow with nodes and edges and not with the number of paths, and cycles end. ``depth`` is the
+    least number of steps and ``previous`` the node before on a shortest path, the least of several;
+    ``lineage_paths`` follows it back to the start.
     """
     a, b = ("dst", "src") if direction == "up" else ("src", "dst")
-    e = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"))
-    level = starts.select(F.col("id").alias("start"), F.col("id").alias("node"),
-                          F.array("id").alias("path"))
-    levels = []
+    e = edges.select(F.col(a).alias("previous"), F.col(b).alias("node")).filter(
+        F.col("previous").isNotNull() & F.col("node").isNotNull()).distinct()
+    kind = e.schema["node"].dataType
+    frontier = cut(starts.select(F.col("id").alias("start"), F.col("id").alias("node"),
+                                 F.lit(None).cast(kind).alias("previous"), F.lit(0).alias("depth")).filter(
+        "node is not null").distinct())
+    found = [frontier]
+    while True:
+        steps = frontier.select("start", F.col("node").alias("previous")).join(e, "previous").groupBy(
+            "start", "node").agg(F.min("previous").alias("previous"))
+        # a node is new unless an earlier round reached it
+        fresh = steps.join(_union(found).select("start", "node"), ["start", "node"], "left_anti")
+        frontier = cut(fresh.withColumn("depth", F.lit(len(found))))
+        if frontier.isEmpty():
+            return _union(found).filter("depth > 0")
+        found.append(frontier)
+
+
+def lineage_paths(traced: DataFrame) -> DataFrame:
+    """``lineage_trace`` with the shortest path from the start to each node as an array.
+
+    Paths are joined by doubling along ``previous``: log2(depth) rounds.
+    """
+    depth = traced.agg(F.max("depth").alias("d")).first()["d"] or 0
+    # the path between an ancestor on the way (exclusive) and the node; starts lead to themselves
+    state = cut(traced.select("start", "node", "depth", F.col("previous").alias("_at"),
+                              F.array("node").alias("path")))
+    reach = 1
+    while reach < depth:
+        head = state.select("start", F.col("node").alias("_at"), F.col("_at").alias("_next"),
+                            F.col("path").alias("_head"))
+        state = cut(state.join(head, ["start", "_at"], "left").select(
+            "start", "node", "depth", F.coalesce("_next", "_at").alias("_at"),
+            F.when(F.col("_head").isNull(), F.col("path")).otherwise(F.concat("_head", "path")).alias("path")))
+        reach *= 2
+    return state.select("start", "node", "depth", F.concat(F.array("start"), "path").alias("path"))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, cycle) of the nodes on cycles of (before_id, after_id): the strongly connected parts of two
+    nodes or more, or with an edge to itself; ``cycle`` is the least node of the part.
+
+    Edges that start where none arrives, or end where none leaves, are trimmed until none is left.
+    Then every node learns the least node that reaches it; what reaches that node again among the
+    nodes of the same label is its part. Parts are taken out and the rest goes on. Only nodes whose
+    label changed send it on.
+    """
+    e = cut(edges.select("before_id", "after_id").filter(
+        F.col("before_id").isNotNull() & F.col("after_id").isNotNull()).distinct())
+    found = []
     while True:
-        level = cut(level.join(e, F.col("node") == F.col("_from"))
-                    .filter(~F.array_contains("path", F.col("_to")))
-                    .select("start", F.col("_to").alias("node"),
-                            F.concat("path", F.array("_to")).alias("path")))
-        if level.isEmpty():
+        size = e.count()
+        while size:
+            e = cut(e.join(e.select(F.col("after_id").alias("before_id")).distinct(), "before_id", "left_semi")
+                    .join(e.select(F.col("before_id").alias("after_id")).distinct(), "after_id", "left_semi"))
+            size, last = e.count(), size
+            if size == last:
+                break
+        if not size:
             break
-        levels.append(level)
-    if not levels:
-        return level.withColumn("depth", F.lit(0))
-    return reduce(DataFrame.unionByName, levels).withColumn("depth", F.size("path") - 1)
+        label = cut(e.select(F.col("before_id").alias("node")).distinct().withColumn("label", F.col("node")))
+        changed = label
+        while not changed.isEmpty():
+            told = changed.select(F.col("node").alias("before_id"), "label").join(e, "before_id").groupBy(
+                F.col("after_id").alias("node")).agg(F.min("label").alias("_new"))
+            changed = cut(label.join(told, "node").filter("_new < label").select(
+                "node", F.col("_new").alias("label")))
+            label = cut(label.join(changed.withColumnRenamed("label", "_new"), "node", "left").select(
+                "node", F.coalesce("_new", "label").alias("label")))
+        inside = cut(e.join(label.select(F.col("node").alias("before_id"), "label"), "before_id").join(
+            label.select(F.col("node").alias("after_id"), F.col("label").alias("_to")), "after_id")
+            .filter("label = _to").select("before_id", "after_id", "label"))
+        part = cut(label.filter("node = label"))
+        frontier, parts = part, [part]
+        while not frontier.isEmpty():
+            back = frontier.select(F.col("node").alias("after_id"), "label").join(
+                inside, ["after_id", "label"]).select(F.col("before_id").alias("node"), "label").distinct()
+            frontier = cut(back.join(_union(parts).select("node"), "node", "left_anti"))
+            parts.append(frontier)
+        part = cut(_union(parts))
+        looped = e.filter("before_id = after_id").select(F.col("before_id").alias("label")).distinct()
+        several = part.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("label")
+        found.append(cut(part.join(several.unionByName(looped).distinct(), "label", "left_semi").select(
+            "node", F.col("label").alias("cycle"))))
+        for end in ("before_id", "after_id"):
+            e = e.join(part.select(F.col("node").alias(end)), end, "left_anti")
+        e = cut(e.select("before_id", "after_id"))
+    if found:
+        return _union(found)
+    return e.select(F.col("before_id").alias("node"), F.col("after_id").alias("cycle")).limit(0)
+
 
+def dependency_risk(tasks: DataFrame, deps: DataFrame) -> DataFrame:
+    """Tasks with a late predecessor, near or far: (task_id, late, at_risk, steps, nearest, cycle).
 
-def dependency_risk(tasks: DataFrame, keys: list[str], order: list[Column], late: Column
-                    ) -> DataFrame:
-    """Tasks of a sequence with a late predecessor, near or far: a running maximum, no recursion."""
-    marked = tasks.withColumn("late", late).withColumn("_l", F.col("late").cast("int"))
-    out = windowed(marked, keys, order, _b=("max_before", "_l"), _n=("sum_before", "_l"))
-    return out.withColumn("at_risk", F.coalesce(F.col("_b") == 1, F.lit(False))).withColumn(
-        "n_late_before", F.coalesce("_n", F.lit(0))).drop("_l", "_b", "_n")
+    ``tasks`` has task_id and late, ``deps`` before_id and after_id. The risk goes from the late tasks
+    along the dependencies, one step a round, and each round moves only the tasks it reached for the
+    first time: ``steps`` is the distance of the nearest late predecessor, ``nearest`` the least such
+    one. ``cycle`` names the cycle a task is on by its least task. Dependencies on unknown tasks count
+    for nothing; a null ``late`` is not late; a late task is at risk if a late one is before it, on a
+    cycle also itself.
+    """
+    known = tasks.select("task_id", F.coalesce("late", F.lit(False)).alias("late"))
+    e = cut(_known(deps, known))
+    frontier = cut(known.filter("late").select("task_id", F.col("task_id").alias("nearest")))
+    reached, found = None, []
+    while True:
+        told = frontier.select(F.col("task_id").alias("before_id"), "nearest").join(e, "before_id").groupBy(
+            F.col("after_id").alias("task_id")).agg(F.min("nearest").alias("nearest"))
+        if found:
+            told = told.join(_union(found).select("task_id"), "task_id", "left_anti")
+        frontier = cut(told.withColumn("steps", F.lit(len(found) + 1)))
+        found.append(frontier)
+        if frontier.isEmpty():
+            break
+    reached = _union(found)
+    return known.join(reached, "task_id", "left").join(
+        cycles(e).withColumnRenamed("node", "task_id"), "task_id", "left").select(
+        "task_id", "late", F.col("steps").isNotNull().alias("at_risk"), "steps", "nearest", "cycle")
 
 
-def critical_path(tasks: DataFrame, keys: list[str], order: list[Column], duration: str
-                  ) -> DataFrame:
-    """Earliest start and finish of tasks that follow one another, in days from the start."""
-    out = windowed(tasks, keys, order, finish=("sum", duration))
-    return out.withColumn("start", F.col("finish") - F.col(duration))
+def _known(deps: DataFrame, tasks: DataFrame) -> DataFrame:
+    e = deps.select("before_id", "after_id").distinct()
+    for end in ("before_id", "after_id"):
+        e = e.join(tasks.select(F.col("task_id").alias(end)), end, "left_semi")
+    return e.select("before_id", "after_id")
 
 
-def earliest_finish(tasks: DataFrame, deps: DataFrame) -> DataFrame:
-    """Earliest finish in a general dependency graph (task_id, duration; before_id, after_id).
+def critical_path(tasks: DataFrame, deps: DataFrame) -> DataFrame:
+    """Earliest start and finish of tasks in a dependency graph: (task_id, duration, start, finish, driver,
+    cycle).
 
-    A round settles the dependencies on tasks that wait for nothing any more; there are as many
-    rounds as the longest chain has steps. If every open dependency waits for another, they form a
-    cycle, which is an error.
+    ``tasks`` has task_id and duration, ``deps`` before_id and after_id. A round settles the tasks all
+    of whose predecessors are settled and writes only those; what they tell their successors waits, one
+    row per waiting task, until the last predecessor has told. There are as many rounds as the longest
+    chain has steps. ``driver`` is the predecessor that ends last, the least of several: from any task
+    it leads back along its critical path. Tasks on a cycle, or behind one, have no start; ``cycle``
+    names a task's own cycle by its least task. Dependencies on unknown tasks count for nothing; a null
+    duration is 0.
     """
-    state = tasks.select("task_id", "duration", F.lit(0).cast("long").alias("begin"))
-    left = deps.select("before_id", "after_id").join(
-        tasks.select(F.col("task_id").alias("before_id")), "before_id", "left_semi")
-    while not left.isEmpty():
-        waiting = left.select(F.col("after_id").alias("before_id")).distinct()
-        ready = cut(left.join(waiting, "before_id", "left_anti"))
-        if ready.isEmpty():
-            raise ValueError("dependencies are cyclic")
-        ends = state.select(F.col("task_id").alias("before_id"),
-                            (F.col("begin") + F.col("duration")).alias("_f"))
-        latest = ready.join(ends, "before_id").groupBy(F.col("after_id").alias("task_id")).agg(
-            F.max("_f").alias("_f"))
-        state = cut(state.join(latest, "task_id", "left").select(
-            "task_id", "duration", F.greatest("begin", F.coalesce("_f", "begin")).alias("begin")))
-        left = cut(left.join(waiting, "before_id", "left_semi"))
-    return state.select("task_id", "duration", (F.col("begin") + F.col("duration")).alias("finish"))
+    known = tasks.select("task_id", F.coalesce("duration", F.lit(0)).cast("long").alias("duration"))
+    e = cut(_known(deps, known))
+    wanted = e.groupBy(F.col("after_id").alias("task_id")).agg(F.count(F.lit(1)).alias("wanted"))
+    state = cut(known.join(wanted, "task_id", "left"))
+    settled = cut(state.filter("wanted is null").select(
+        "task_id", "duration", F.lit(0).cast("long").alias("start"),
+        F.lit(None).cast(known.schema["task_id"].dataType).alias("driver")))
+    done, waiting = [settled], None
+    while not settled.isEmpty():
+        told = settled.select(F.col("task_id").alias("before_id"), (F.col("start") + F.col("duration")).alias("_f")) \
+            .join(e, "before_id").groupBy(F.col("after_id").alias("task_id")).agg(
+            F.max("_f").alias("start"), F.count(F.lit(1)).alias("heard"),
+            F.min_by("before_id", F.struct(-F.col("_f"), F.col("before_id"))).alias("driver"))
+        if waiting is not None:
+            told = told.unionByName(waiting).groupBy("task_id").agg(
+                F.max("start").alias("_s"), F.sum("heard").alias("heard"),
+                F.min_by("driver", F.struct(-F.col("start"), F.col("driver"))).alias("driver")).withColumnRenamed(
+                "_s", "start")
+        told = cut(told.join(state, "task_id"))
+        settled = told.filter("heard = wanted").select("task_id", "duration", "start", "driver")
+        waiting = told.filter("heard < wanted").select("task_id", "start", "heard", "driver")
+        done.append(settled)
+    ready = _union(done)
+    left = e.join(ready.select(F.col("task_id").alias("before_id")), "before_id", "left_anti")
+    return known.join(ready.drop("duration"), "task_id", "left").join(
+        cycles(left).withColumnRenamed("node", "task_id"), "task_id", "left").select(
+        "task_id", "duration", "start", (F.col("start") + F.col("duration")).alias("finish"), "driver", "cycle")
+
+
+def earliest_finish(tasks: DataFrame, deps: DataFrame) -> DataFrame:
+    """``critical_path`` for plans that must have no cycle: (task_id, duration, finish), or an error."""
+    out = cut(critical_path(tasks, deps))
+    if not out.filter("start is null").isEmpty():
+        raise ValueError("dependencies are cyclic")
+    return out.select("task_id", "duration", "finish")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import derive as D
 from ..scale import windowed
 from ..sources import rules as R
 from .aggregating import _doubles
+from .graphs import tree
 from .inputs import price_points, recommendations, schedule
 from .registry import VIEWS, query
 from .windowing import FULL_ORDER
@@ -167,20 +168,51 @@ def _(t):
     return _doubles(D.shift_schedule(schedule(t), shifts, "activity_id", ["program"]), "before", "after")
 
 
+#: institutions lose a tenth, some ministries gain three hundredths, some units a fixed amount
+VIEWS["x_revision"] = """
+  WITH a AS (SELECT u.institution_id, u.ministry_id, u.unit_id, sum(allocation) AS amount FROM x_act a
+    JOIN x_unit u ON u.unit_id = a.budget_activity_id GROUP BY ALL)
+  SELECT 'I:' || institution_id AS node, round(sum(amount) * CAST(-0.1 AS DECIMAL(2,1)), 2) AS change
+    FROM a GROUP BY institution_id
+  UNION ALL SELECT 'M:' || ministry_id, round(sum(amount) * CAST(0.03 AS DECIMAL(3,2)), 2) FROM a
+    WHERE ministry_id % 5 = 0 GROUP BY ministry_id
+  UNION ALL SELECT 'U:' || unit_id, CAST(100.01 AS DECIMAL(5,2)) FROM a WHERE unit_id % 7 = 0"""
+
+
 @query("propagate_revision", """
-WITH c AS (SELECT program, budget_activity_id, sum(allocation) AS a FROM x_au GROUP BY ALL),
-p AS (SELECT program, sum(a) AS tot, round(sum(a) * CAST(-0.1 AS DECIMAL(2,1)), 2) AS ch FROM c GROUP BY 1)
-SELECT program, budget_activity_id, 2 AS version, CAST(a AS DOUBLE) AS before,
-  round(CAST(a AS DOUBLE) + CAST(ch AS DOUBLE) * (CAST(a AS DOUBLE) / CAST(tot AS DOUBLE)), 2) AS after
-FROM c JOIN p USING (program)""")
+WITH l AS (SELECT 'A:' || activity_id AS node, CAST(sum(allocation) * 100 AS HUGEINT) AS cents FROM x_act GROUP BY 1),
+w AS (SELECT descendant, ancestor FROM x_below UNION SELECT child, child FROM x_tree
+  UNION SELECT parent, parent FROM x_tree),
+h AS (SELECT l.node, r.node AS revised, CAST(change * 100 AS HUGEINT) AS ch, cents,
+    sum(cents) OVER (PARTITION BY r.node) AS al, sum(cents) OVER (PARTITION BY r.node ORDER BY l.node) AS upto
+  FROM l JOIN w ON w.descendant = l.node JOIN x_revision r ON r.node = w.ancestor),
+s AS (SELECT node, sum(sign(ch) * ((2 * abs(ch) * upto + al) // (2 * al)
+    - (2 * abs(ch) * (upto - cents) + al) // (2 * al))) AS share FROM h GROUP BY 1),
+k AS (SELECT descendant AS node, count(*) AS n FROM w JOIN x_revision r ON r.node = w.ancestor GROUP BY 1)
+SELECT w.ancestor AS node, coalesce(any_value(n), 0) AS n_revisions, CAST(sum(cents) AS DOUBLE) / 100 AS before,
+  CAST(sum(cents + coalesce(share, 0)) AS DOUBLE) / 100 AS after
+FROM l JOIN w ON w.descendant = l.node LEFT JOIN s ON s.node = l.node LEFT JOIN k ON k.node = w.ancestor
+GROUP BY 1 HAVING bool_or(share IS NOT NULL)""")
 def _(t):
-    children = t.activity_unit.groupBy("program", "budget_activity_id").agg(
-        F.sum("allocation").cast("decimal(18,2)").alias("amount"))
-    revisions = children.groupBy("program").agg(
-        F.round(F.sum("amount") * F.lit("-0.1").cast("decimal(2,1)"), 2).alias("change")).withColumn(
-        "version", F.lit(1))
-    return D.propagate_revision(children, revisions, "program", "budget_activity_id", "amount") \
-        .withColumn("before", money("before"))
+    own = t.activity.join(t.unit.select(F.col("unit_id").alias("budget_activity_id"), "ministry_id",
+                                        "institution_id"), "budget_activity_id")
+    per = own.groupBy("institution_id", "ministry_id", "budget_activity_id").agg(
+        F.sum("allocation").alias("amount"))
+
+    def revised(kind, key, rows, factor):
+        return rows.groupBy(key).agg(F.round(F.sum("amount") * F.lit(factor).cast("decimal(3,2)"), 2)
+                                     .cast("decimal(18,2)").alias("change")).select(
+            F.concat_ws(":", F.lit(kind), key).alias("node"), "change")
+
+    revisions = revised("I", "institution_id", per, "-0.1").unionByName(
+        revised("M", "ministry_id", per.filter("ministry_id % 5 = 0"), "0.03")).unionByName(
+        per.filter("budget_activity_id % 7 = 0").select(
+            F.concat_ws(":", F.lit("U"), "budget_activity_id").alias("node"),
+            F.lit("100.01").cast("decimal(18,2)").alias("change")))
+    amounts = t.activity.select(F.concat_ws(":", F.lit("A"), "activity_id").alias("node"),
+                                F.col("allocation").alias("amount"))
+    out = D.propagate_revision(amounts, tree(t), revisions)
+    return out.select("node", "n_revisions", money("before").alias("before"), money("after").alias("after"))
 
 
 VIEWS["x_cline"] = """

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
@@ -43,17 +46,42 @@ def graph(t):
 query("build_graph", "SELECT src, dst, relation, kind, source, confidence FROM x_edge")(
     lambda t: graph(t)[1])
 
-query("hierarchy_closure", """
-WITH e AS (SELECT 'U:' || unit_id AS c, 'M:' || ministry_id AS p FROM x_unit
-  UNION SELECT 'M:' || n_nationkey, 'I:' || n_regionkey FROM nation)
-SELECT c AS descendant, p AS ancestor, CAST(1 AS INT) AS depth FROM e
-UNION ALL SELECT a.c, b.p, 2 FROM e a JOIN e b ON a.p = b.c""")(
-    lambda t: G.hierarchy_closure(
-        t.unit.select(F.concat_ws("", F.lit("U:"), "unit_id").alias("c"),
-                      F.concat_ws("", F.lit("M:"), "ministry_id").alias("p"))
-        .unionByName(t.ministry.select(F.concat_ws("", F.lit("M:"), "ministry_id").alias("c"),
-                                       F.concat_ws("", F.lit("I:"), "institution_id").alias("p"))),
-        "c", "p"))
+#: institutions, ministries, their programs, units and the units' activities
+VIEWS["x_tree"] = """
+  SELECT 'M:' || n_nationkey AS child, 'I:' || n_regionkey AS parent FROM nation
+  UNION ALL SELECT DISTINCT 'S:' || ministry_id || ':' || program, 'M:' || ministry_id FROM x_unit
+  UNION ALL SELECT 'U:' || unit_id, 'S:' || ministry_id || ':' || program FROM x_unit
+  UNION ALL SELECT 'A:' || activity_id, 'U:' || budget_activity_id FROM x_act"""
+VIEWS["x_below"] = """
+  WITH RECURSIVE c AS (SELECT child AS descendant, parent AS ancestor, 1 AS depth FROM x_tree
+  UNION ALL SELECT c.descendant, t.parent, c.depth + 1 FROM c JOIN x_tree t ON t.child = c.ancestor)
+  SELECT descendant, ancestor, CAST(depth AS INT) AS depth FROM c"""
+
+
+def tree(t):
+    def named(kind, *columns):
+        return F.concat_ws(":", F.lit(kind), *columns)
+
+    program = named("S", "ministry_id", "program")
+    levels = [(t.ministry, named("M", "ministry_id"), named("I", "institution_id")),
+              (t.unit.select("ministry_id", "program").distinct(), program, named("M", "ministry_id")),
+              (t.unit, named("U", "unit_id"), program),
+              (t.activity, named("A", "activity_id"), named("U", "budget_activity_id"))]
+    return reduce(DataFrame.unionByName, [df.select(c.alias("child"), p.alias("parent"))
+                                          for df, c, p in levels])
+
+
+query("hierarchy_closure", "SELECT * FROM x_below")(
+    lambda t: G.hierarchy_closure(tree(t), "child", "parent"))
+
+query("hierarchy_intervals", """
+WITH RECURSIVE p AS (SELECT DISTINCT parent AS node, [parent] AS way FROM x_tree
+    WHERE parent NOT IN (SELECT child FROM x_tree)
+  UNION ALL SELECT child, list_append(way, child) FROM p JOIN x_tree ON parent = node),
+n AS (SELECT ancestor AS node, count(*) AS below FROM x_below GROUP BY 1),
+o AS (SELECT node, row_number() OVER (ORDER BY way) - 1 AS pre FROM p)
+SELECT node, pre, pre + coalesce(below, 0) AS post FROM o LEFT JOIN n USING (node)""")(
+    lambda t: G.subtree_intervals(tree(t), "child", "parent"))
 
 
 @query("lineage_trace", """
@@ -66,7 +94,7 @@ def _(t):
     nodes, edges = graph(t)
     official = edges.filter("kind = 'OFFICIAL'")
     starts = official.filter("relation = 'PAYS'").select(F.col("dst").alias("id")).distinct()
-    out = G.lineage_trace(official, starts, "up")
+    out = G.lineage_paths(G.lineage_trace(official, starts, "up"))
     return out.withColumn("path", F.array_join("path", "<"))
 
 
@@ -75,24 +103,60 @@ def _tasks(t):
                     pos=("row_number",))
 
 
-query("dependency_risk", f"""
-WITH l AS (SELECT activity_id, pos, line_status <> 'F' AND start_date + CAST(30 * seq AS INT)
-  < DATE '{R.TODAY}' AS late FROM x_seqline)
-SELECT activity_id, pos, late, coalesce(sum(CAST(late AS INT)) OVER w, 0) > 0 AS at_risk,
-  CAST(coalesce(sum(CAST(late AS INT)) OVER w, 0) AS BIGINT) AS n_late_before FROM l
-WINDOW w AS (PARTITION BY activity_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")(
-    lambda t: G.dependency_risk(
-        _tasks(t), ["activity_id"], [F.col("pos")],
-        (F.col("line_status") != "F") & (F.date_add("start_date", F.col("seq") * 30)
-                                         < F.lit(R.TODAY).cast("date"))).select(
-        "activity_id", "pos", "late", "at_risk", "n_late_before"))
+#: a task waits for the one of half its number, every third also for the one before it; in some
+#: activities the second also waits for the last
+VIEWS["x_task"] = f"""
+  SELECT activity_id * 1000 + pos AS task_id, activity_id, pos, quantity AS duration,
+    line_status <> 'F' AND start_date + CAST(30 * seq AS INT) < DATE '{R.TODAY}' AS late,
+    count(*) OVER (PARTITION BY activity_id) AS n FROM x_seqline"""
+VIEWS["x_dep"] = """
+  SELECT activity_id * 1000 + pos // 2 AS before_id, task_id AS after_id FROM x_task WHERE pos > 1
+  UNION SELECT task_id - 1, task_id FROM x_task WHERE pos % 3 = 0
+  UNION SELECT task_id, activity_id * 1000 + 2 FROM x_task WHERE activity_id % 97 = 0 AND pos = n AND n > 1"""
+VIEWS["x_after"] = """
+  WITH RECURSIVE r AS (SELECT before_id AS a, after_id AS b FROM x_dep
+  UNION SELECT r.a, d.after_id FROM r JOIN x_dep d ON d.before_id = r.b) SELECT a, b FROM r"""
+VIEWS["x_cycle"] = """
+  SELECT f.a AS task_id, min(f.b) AS cycle FROM x_after f JOIN x_after g ON f.a = g.b AND f.b = g.a GROUP BY 1"""
+
+
+def _graph(t):
+    first = F.col("activity_id") * 1000
+    tasks = windowed(_tasks(t), ["activity_id"], [F.col("pos")], n=("size",)).select(
+        (first + F.col("pos")).alias("task_id"), "activity_id", "pos", "n", F.col("quantity").alias("duration"),
+        ((F.col("line_status") != "F") & (F.date_add("start_date", F.col("seq") * 30)
+                                          < F.lit(R.TODAY).cast("date"))).alias("late"))
+    task = F.col("task_id").alias("after_id")
+    deps = tasks.filter("pos > 1").select((first + F.floor(F.col("pos") / 2)).alias("before_id"), task) \
+        .unionByName(tasks.filter("pos % 3 = 0").select((F.col("task_id") - 1).alias("before_id"), task)) \
+        .unionByName(tasks.filter("activity_id % 97 = 0 AND pos = n AND n > 1").select(
+            F.col("task_id").alias("before_id"), (first + 2).alias("after_id")))
+    return tasks, deps
+
+
+query("dependency_risk", """
+WITH RECURSIVE f AS (SELECT task_id AS src, task_id, 0 AS steps FROM x_task WHERE late
+  UNION SELECT src, after_id, steps + 1 FROM f JOIN x_dep ON before_id = task_id
+    WHERE steps < (SELECT max(n) FROM x_task)),
+m AS (SELECT task_id, min(steps) AS steps FROM f WHERE steps > 0 GROUP BY 1),
+b AS (SELECT task_id, CAST(steps AS INT) AS steps, min(src) AS nearest FROM f JOIN m USING (task_id, steps) GROUP BY ALL)
+SELECT task_id, late, steps IS NOT NULL AS at_risk, steps, nearest, cycle
+FROM x_task LEFT JOIN b USING (task_id) LEFT JOIN x_cycle USING (task_id)""")(
+    lambda t: G.dependency_risk(*_graph(t)))
 
 query("critical_path", """
-SELECT activity_id, pos, CAST(sum(quantity) OVER w - quantity AS BIGINT) AS start,
-  CAST(sum(quantity) OVER w AS BIGINT) AS finish FROM x_seqline
-WINDOW w AS (PARTITION BY activity_id ORDER BY pos)""")(
-    lambda t: G.critical_path(_tasks(t), ["activity_id"], [F.col("pos")], "quantity").select(
-        "activity_id", "pos", "start", "finish"))
+WITH RECURSIVE stuck AS (SELECT task_id FROM x_cycle UNION SELECT b FROM x_after JOIN x_cycle ON a = task_id),
+f AS (SELECT task_id, duration AS ends FROM x_task WHERE task_id NOT IN (SELECT task_id FROM stuck)
+    AND task_id NOT IN (SELECT after_id FROM x_dep)
+  UNION SELECT t.task_id, f.ends + t.duration FROM f JOIN x_dep d ON d.before_id = f.task_id
+    JOIN x_task t ON t.task_id = d.after_id WHERE t.task_id NOT IN (SELECT task_id FROM stuck)),
+g AS (SELECT task_id, max(ends) AS finish FROM f GROUP BY 1),
+h AS (SELECT after_id AS task_id, arg_min(before_id, (-finish, before_id)) AS driver
+  FROM x_dep JOIN g ON g.task_id = before_id GROUP BY 1)
+SELECT task_id, duration, finish - duration AS start, finish,
+  CASE WHEN finish IS NOT NULL THEN driver END AS driver, cycle
+FROM x_task LEFT JOIN g USING (task_id) LEFT JOIN h USING (task_id) LEFT JOIN x_cycle USING (task_id)""")(
+    lambda t: G.critical_path(*_graph(t)))
 
 
 @query("resolve_entities", """

@@ -29,30 +29,34 @@ def clock(column):
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
 
 
-_END = "(SELECT max(ts) FROM x_ev) - INTERVAL 10 MINUTES"
+def closed(t, build):
+    """All rows of ``build(end)`` after the input was closed; ``end`` adds the marker to a stream."""
+    target, markers = work_dir(t.spark, "stream"), work_dir(t.spark, "end")
+    stream = build(lambda df, **values: S.with_end(df, markers, **values))
+    S.drain_closed(stream, target, work_dir(t.spark, "checkpoint"), markers)
+    return t.spark.read.schema(stream.schema).parquet(target)
+
 
-query("stream_tumbling", f"""
+query("stream_tumbling", """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, kind, count(*) AS n,
-  CAST(sum(value) AS DOUBLE) AS amount FROM x_ev GROUP BY date_trunc('hour', ts), kind
-HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_END}""")(
-    lambda t: drained(t, S.tumbling(events(t), "1 hour", "10 minutes", ["kind"])).select(
+  CAST(sum(value) AS DOUBLE) AS amount FROM x_ev GROUP BY date_trunc('hour', ts), kind""")(
+    lambda t: closed(t, lambda end: S.tumbling(end(events(t)), "1 hour", "10 minutes", ["kind"])).select(
         clock("w.start").alias("start"), "kind", "n", money("amount").alias("amount")))
 
-query("stream_sliding", f"""
+query("stream_sliding", """
 WITH w AS (SELECT time_bucket(INTERVAL 15 MINUTES, ts, TIMESTAMP '1970-01-01') - i * INTERVAL 15 MINUTES
     AS start, kind FROM x_ev, range(4) r(i))
-SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, kind, count(*) AS n FROM w GROUP BY w.start, kind
-HAVING w.start + INTERVAL 1 HOUR <= {_END}""")(
-    lambda t: drained(t, S.sliding(events(t), "1 hour", "15 minutes", "10 minutes", ["kind"])).select(
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, kind, count(*) AS n FROM w GROUP BY w.start, kind""")(
+    lambda t: closed(t, lambda end: S.sliding(
+        end(events(t)), "1 hour", "15 minutes", "10 minutes", ["kind"])).select(
         clock("w.start").alias("start"), "kind", "n"))
 
-query("stream_sessions", f"""
+query("stream_sessions", """
 WITH f AS (SELECT actor, ts, CAST(lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTES
     AS INT) AS new FROM x_ev WINDOW w AS (PARTITION BY actor ORDER BY ts)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY actor ORDER BY ts) AS s FROM f)
-SELECT actor, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM g GROUP BY actor, s
-HAVING max(ts) + INTERVAL 30 MINUTES <= {_END}""")(
-    lambda t: drained(t, S.sessions(events(t), "30 minutes", "10 minutes", "actor")).select(
+SELECT actor, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM g GROUP BY actor, s""")(
+    lambda t: closed(t, lambda end: S.sessions(end(events(t)), "30 minutes", "10 minutes", "actor")).select(
         "actor", clock("w.start").alias("start"), "n"))
 
 query("stream_dedupe", """
@@ -62,10 +66,14 @@ SELECT kind, count(*) AS n, CAST(sum(value) AS DOUBLE) AS amount FROM x_ev GROUP
 
 
 @query("stream_envelope", """
-SELECT kind, CAST(sum(value) AS DOUBLE) AS used,
-  CAST(round(sum(value) * CASE WHEN kind IN ('click', 'view') THEN CAST(0.9 AS DECIMAL(2,1))
-    ELSE CAST(1.1 AS DECIMAL(2,1)) END, 2) - sum(value) AS DOUBLE) AS available,
-  kind IN ('click', 'view') AS over_ceiling FROM x_ev GROUP BY kind""")
+WITH c AS (SELECT kind, round(sum(value) * CASE WHEN kind IN ('click', 'view') THEN CAST(0.9 AS DECIMAL(2,1))
+    ELSE CAST(1.1 AS DECIMAL(2,1)) END, 2) AS ceiling FROM x_ev GROUP BY kind),
+r AS (SELECT kind, event_id, ts, sum(value) OVER (PARTITION BY kind ORDER BY ts, event_id) AS used FROM x_ev),
+f AS (SELECT kind, arg_min(event_id, (ts, event_id)) AS crossed_by FROM r JOIN c USING (kind)
+  WHERE used > ceiling GROUP BY kind)
+SELECT kind, CAST(sum(value) AS DOUBLE) AS used, CAST(ceiling - sum(value) AS DOUBLE) AS available,
+  sum(value) > ceiling AS over_ceiling, crossed_by
+FROM x_ev JOIN c USING (kind) LEFT JOIN f USING (kind) GROUP BY kind, ceiling, crossed_by""")
 def _(t):
     share = F.when(F.col("kind").isin("click", "view"), F.lit("0.9").cast("decimal(2,1)")).otherwise(
         F.lit("1.1").cast("decimal(2,1)"))
@@ -73,11 +81,13 @@ def _(t):
         "kind", F.round(F.col("_s") * share, 2).cast("decimal(18,2)").alias("ceiling"))
     target = work_dir(t.spark, "envelope")
     S.envelope(events(t), "kind", ceilings, target, work_dir(t.spark, "checkpoint"))
-    rows = t.spark.read.parquet(target)
-    last = rows.groupBy("kind").agg(F.max_by(
+    last = t.spark.read.parquet(f"{target}/changes").groupBy("kind").agg(F.max_by(
         F.struct("used", "available", "over_ceiling"), "batch").alias("r"))
-    return last.select("kind", money("r.used").alias("used"), money("r.available").alias("available"),
-                       "r.over_ceiling")
+    alerts = t.spark.read.parquet(f"{target}/alerts").select(
+        F.col("kind").alias("_kind"), F.col("event_id").alias("crossed_by"))
+    return last.join(alerts, F.col("kind").eqNullSafe(F.col("_kind")), "left").select(
+        "kind", money("r.used").alias("used"), money("r.available").alias("available"),
+        "r.over_ceiling", "crossed_by")
 
 
 query("stream_enrich", """
@@ -90,30 +100,25 @@ JOIN nation ON n_nationkey = actor % 25 JOIN region ON r_regionkey = n_regionkey
     .select("event_id", "commune", "department"))
 
 
-def _unanswered(t, fn, opened, answered, span, minutes):
-    """Keep items old enough that the watermark of both sides has passed their deadline."""
-    out = drained(t, fn(events(t).filter(F.col("kind") == opened),
-                        events(t).filter(F.col("kind") == answered), "actor", span, "10 minutes"))
-    ends = t.event.agg(F.max(F.when(F.col("kind") == opened, F.col("ts"))).alias("a"),
-                       F.max(F.when(F.col("kind") == answered, F.col("ts"))).alias("b")).first()
-    limit = F.lit(min(ends["a"], ends["b"])).cast("timestamp_ntz") - F.expr(
-        f"interval {minutes} minutes")
-    return out.filter(F.col("ts").cast("timestamp_ntz") <= limit).select("event_id", "actor")
+def _unanswered(t, fn, opened, answered, span):
+    def side(end, kind):
+        return end(events(t).filter(F.col("kind") == kind))
+
+    return closed(t, lambda end: fn(side(end, opened), side(end, answered), "actor", span, "10 minutes")
+                  ).select("event_id", "actor")
 
 
-def _unanswered_sql(opened, answered, interval, minutes):
+def _unanswered_sql(opened, answered, interval):
     return f"""
 SELECT event_id, actor FROM x_ev o WHERE kind = '{opened}' AND NOT EXISTS (SELECT 1 FROM x_ev a
-  WHERE a.kind = '{answered}' AND a.actor = o.actor AND a.ts >= o.ts AND a.ts <= o.ts + INTERVAL {interval})
-AND ts <= least((SELECT max(ts) FROM x_ev WHERE kind = '{opened}'),
-  (SELECT max(ts) FROM x_ev WHERE kind = '{answered}')) - INTERVAL {minutes} MINUTES"""
+  WHERE a.kind = '{answered}' AND a.actor = o.actor AND a.ts >= o.ts AND a.ts <= o.ts + INTERVAL {interval})"""
 
 
-query("stream_outbox", _unanswered_sql("purchase", "click", "1 HOUR", 75))(
-    lambda t: _unanswered(t, S.outbox, "purchase", "click", "1 hour", 75))
+query("stream_outbox", _unanswered_sql("purchase", "click", "1 HOUR"))(
+    lambda t: _unanswered(t, S.outbox, "purchase", "click", "1 hour"))
 
-query("stream_deadlines", _unanswered_sql("signup", "purchase", "2 DAYS", 2880 + 15))(
-    lambda t: _unanswered(t, S.deadlines, "signup", "purchase", "2 days", 2880 + 15))
+query("stream_deadlines", _unanswered_sql("signup", "purchase", "2 DAYS"))(
+    lambda t: _unanswered(t, S.deadlines, "signup", "purchase", "2 days"))
 
 
 @query("stream_cdc_scd2", """
@@ -123,7 +128,7 @@ def _(t):
     target = work_dir(t.spark, "scd2")
     S.cdc_scd2(events(t), "actor", "ts", "event_id", ["kind"], target,
                work_dir(t.spark, "checkpoint"))
-    return S.read_scd2(t.spark, target, "actor").select("actor", "event_id", "version",
+    return S.read_scd2(t.spark, target).select("actor", "event_id", "version",
                                                         "supersedes_id", "kind")
 
 
@@ -156,8 +161,8 @@ def _(t):
     return t.spark.read.parquet(f"{target}/rows").select("event_id", "late")
 
 
-query("stream_security", f"""
+query("stream_security", """
 SELECT actor, strftime(CAST(day AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM x_ev
-GROUP BY actor, day HAVING count(*) >= 5 AND day + INTERVAL 1 DAY <= {_END}""")(
-    lambda t: drained(t, S.security(events(t), "1 day", "10 minutes", "actor", 5)).select(
+GROUP BY actor, day HAVING count(*) >= 5""")(
+    lambda t: closed(t, lambda end: S.security(end(events(t)), "1 day", "10 minutes", "actor", 5)).select(
         "actor", clock("w.start").alias("start"), "n"))
