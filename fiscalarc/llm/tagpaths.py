@@ -4,15 +4,18 @@ Every text node has the path of tags from the root to it. Per path, text length
 summed and divided by the number of nodes; both ratios are smoothed over the paths in page order,
 fused, and held against a threshold: articles stand on few paths with long, punctuated nodes. The
 article is the lowest element that holds all nodes on the paths above it, or the <article> or <main>
-around them, and all its blocks are the result. Elements that by their tag, role or name are not the article (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, comments) do not take part, unless the only <article> or
-<main>, or (for names, roles, forms, hidden elements) more than half of the page's text is in them.
+around them, and all its blocks are the result. Elements that by their tag, role or name are not the
+article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) do not take
+part, unless the only <article> or <main> is in them, or (for names, roles, forms, hidden elements)
+they hold most of the page's text and nothing outside them reads like an article: no path whose fused
+ratio comes up to that of a sentence. Elements nested deeper than ``DEPTH`` count as their ancestor there.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,11 +38,11 @@ OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search
 OUTSIDE_NAMES = re.compile(
     r"ads?|adverts?|advertis\w*|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|"
     r"consent|gdpr|notices?|popup|modal|overlay|alert|nav|navbar|navigation|menu|breadcrumbs?|sidebar|"
-    r"footer|header|masthead|comments?|commentlist|respond|repl(?:y|ies)|disqus|social|share|"
+    r"footer|header|masthead|reviews|comments?|commentlist|respond|repl(?:y|ies)|disqus|social|share|"
     r"sharing|related|recommend(?:ed|ations?)?|newsletter|subscribe|subscription|widget|pagination|"
     r"pager|toolbar|login|signup|search")
 #: fixed values: words that may stand beside those in a name of the part itself
-BESIDE = {"site", "page", "main", "top", "bottom", "left", "right", "side", "bar", "primary", "secondary",
+BESIDE = {"user", "users", "reader", "readers", "visitor", "visitors", "customer", "text", "site", "page", "main", "top", "bottom", "left", "right", "side", "bar", "primary", "secondary",
           "global", "list", "box", "area", "section", "block", "container", "wrapper", "wrap", "inner",
           "links", "items", "form", "posts", "articles", "buttons", "icons", "skip", "link", "bars"}
 #: fixed values: a start tag that ends an open element: the open elements, and what shields them
@@ -55,6 +58,10 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
 #: paths count from this share of the largest fused ratio on
 THRESHOLD = 0.1
+#: a text node of a sentence or more: its fused ratio of length and punctuation
+SENTENCE = 120.0
+#: paths have at most so many tags; browsers end the nesting of elements likewise
+DEPTH = 128
 #: the elements that say where the article is
 MARKED = ("article", "main")
 
@@ -95,11 +102,12 @@ def nodes(page: str):
     found, doubts, block, element, at, n = [], [], 0, 0, 0, len(page)
 
     path: tuple[tuple[str, ...], tuple[int, ...]] | None = None
+    open_tags: Counter[str] = Counter()
 
     def add(text: str) -> None:
         nonlocal path
         if path is None:
-            path = tuple(s[0] for s in stack), tuple(s[1] for s in stack)
+            path = tuple(s[0] for s in stack[:DEPTH]), tuple(s[1] for s in stack[:DEPTH])
         found.append((block, *path, text))
         doubts.append(stack[-1][3] if stack else ())
 
@@ -120,10 +128,12 @@ def nodes(page: str):
         tag = token["close"]
         if tag:
             tag = tag.lower()
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
-                path = None
+            if open_tags[tag]:
+                last = len(stack)
+                while stack[last - 1][0] != tag:
+                    last -= 1
+                _cut(stack, last - 1, open_tags)
+                path = path if len(stack) >= DEPTH else None
                 if tag not in INLINE:
                     block += 1
             continue
@@ -138,18 +148,19 @@ def nodes(page: str):
         if tag not in INLINE:
             block += 1
             if not hidden:
-                _end_open(stack, tag)
-                path = None
+                _end_open(stack, tag, open_tags)
+                path = path if len(stack) >= DEPTH else None
         attrs = token["attrs"] or token["rest"] or ""
         if tag in VOID:
             continue
         element += 1
         hidden = bool(stack) and stack[-1][2]
         doubt, why = stack[-1][3] if stack else (), _outside(tag, attrs)
-        if why in (1, 2):
+        if why in (1, 2) and len(doubt) < DEPTH:
             doubt = (*doubt, (len(stack), element, why))
+        path = path if len(stack) >= DEPTH else None
         stack.append((tag, element, hidden or why == 3, doubt))
-        path = None
+        open_tags[tag] += 1
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE).search(page, at)
             at = look = end.start() if end else n
@@ -159,34 +170,54 @@ def nodes(page: str):
 def _of_article(found: list, doubts: list) -> list:
     """The nodes less those in elements that may be outside, where that leaves the article."""
     total, held, around, plain = 0, {}, set(), False
+    marks: dict[tuple, int | None] = {}
+    beside: dict[tuple, list[int]] = {}
     for (_, path, _, text), doubt in zip(found, doubts):
         size = len(text.strip())
         total += size
         for d in doubt if size else ():
             held[d] = held.get(d, 0) + size
-        first = next((i for i, t in enumerate(path) if t in MARKED), None)
+        if path not in marks:
+            marks[path] = next((i for i, t in enumerate(path) if t in MARKED), None)
+        first = marks[path]
         if size and first is not None:
             plain = plain or not doubt
             around.update(d for d in doubt if d[0] < first)
+        if size and not doubt and "a" not in path:
+            entry = beside.setdefault(path, [0, 0, 0])
+            entry[0] += size
+            entry[1] += len(PUNCTUATION.findall(text))
+            entry[2] += 1
     if plain:  # an article stands outside all of them
         return [x for x, doubt in zip(found, doubts) if not doubt]
-    spared = around | {d for d, size in held.items() if d[2] == 1 and 2 * size > total}
+    # the same fused ratio that chooses paths, before smoothing
+    article = any(size / n * (1 + marks / n) >= SENTENCE for size, marks, n in beside.values())
+    spared = around | {d for d, size in held.items() if d[2] == 1 and 2 * size > total and not article}
     return [x for x, doubt in zip(found, doubts) if spared.issuperset(doubt)]
 
 
-def _end_open(stack: list, tag: str) -> None:
+def _cut(stack: list, size: int, open_tags: Counter) -> None:
+    """Close the innermost elements until ``size`` are open."""
+    for tag, *_ in stack[size:]:
+        open_tags[tag] -= 1
+    del stack[size:]
+
+
+def _end_open(stack: list, tag: str, open_tags: Counter) -> None:
     """End the open elements that the start of the block ``tag`` implies are over."""
     if tag in CLOSES:
         ends, shields = CLOSES[tag]
+        if any(open_tags[t] for t in ends):
+            for i in reversed(range(len(stack))):
+                if stack[i][0] in shields:
+                    break
+                if stack[i][0] in ends:
+                    _cut(stack, i, open_tags)
+    if open_tags["p"]:
         for i in reversed(range(len(stack))):
-            if stack[i][0] in shields:
+            if stack[i][0] == "p":
+                _cut(stack, i, open_tags)
                 break
-            if stack[i][0] in ends:
-                del stack[i:]
-    for i in reversed(range(len(stack))):
-        if stack[i][0] == "p":
-            del stack[i:]
-            break
 
 
 def main_text(page: str | None) -> str:

@@ -90,3 +90,14 @@ def test_all_kept_documents_are_packed(steps):
     assert packed == {r.doc_id: len(coder.encode(r.text or "", add_special_tokens=False).ids) + 1
                       for r in steps[4][2]}
     assert max(filled.values()) <= 1024 and sorted(filled) == list(range(len(filled)))
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    rows = [(1, "b " * 9, "en", "s", 1, 5, True), (1, "a " * 9, "en", "s", 1, 6, False), (2, "c d e f g h", "en", "s", 1, 7, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, "
+                                       "rejected_id long, contaminated boolean")
+    for name, stage in corpus_pipeline.STAGES[2:4]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+    kept = corpus_pipeline.near_copies(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.rejected_id) for r in kept) == [(1, 6), (2, 7)]
