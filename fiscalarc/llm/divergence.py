@@ -2,7 +2,8 @@
 
 DataFrame functions only. Each text is read once and reduced to counts: the base rules' counts, a
 histogram of character classes, and one of the language's common words. The references are the sums
-of these histograms over all documents that pass the base rules, per language. A document fails if
+of these histograms over all documents that pass the base rules, per language. A language without a
+list of common words has a reference of characters alone. A document fails if
 the Jensen-Shannon distance (0 to 1) of one of its histograms from the reference is too large.
 Histograms of few characters or words scatter: the limit falls with their size, and each distance
 has a minimum length.
@@ -15,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import lookup, stored
 
 #: fixed values: the most common words of each language
 COMMON_WORDS = {
@@ -92,7 +93,7 @@ def counts(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) -> Data
         F.length(text).cast("long").alias("length"), number(SPACE).alias("space"),
         number("[A-Z]").alias("upper"), number("[0-9]").alias("digit"),
         number(r"[#*$%&|<>]").alias("n_symbols"), number(r"[.,;:!?'\"()\-]").alias("mark"),
-        (F.octet_length(text) - F.length(text)).cast("long").alias("beyond"))
+        number(r"[^\x00-\x7F]").alias("beyond"))
 
     # a generator keeps the steps above and below apart, so each is computed once
     row = first.select("doc_id", "lang", F.explode(F.array(F.struct(
@@ -102,10 +103,11 @@ def counts(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) -> Data
 
     hits = F.array_sort(F.array(*[F.struct(lacking(words).alias("n"), F.lit(lang).alias("lang"))
                                   for lang, words in sorted(common.items())]))
-    language = F.when(F.col("lang").isin(list(common)), F.col("lang")).otherwise(hits[0]["lang"])
+    language = F.coalesce("lang", hits[0]["lang"])
     mine = F.create_map(*[x for lang, words in sorted(common.items())
                           for x in (F.lit(lang), F.array(*map(F.lit, words)))])
-    word_counts = let(language, lambda lang: let(mine[lang], lambda words: F.transform(
+    none = F.array().cast("array<string>")
+    word_counts = let(language, lambda lang: let(F.coalesce(F.try_element_at(mine, lang), none), lambda words: F.transform(
         words, lambda c: F.size(F.filter("r.w.common", lambda w: w == c)).cast("long"))))
     rest = F.greatest(F.lit(0).cast("long"), F.col("r.length") - F.col("r.space") - F.col("r.upper")
                       - F.col("r.digit") - F.col("r.n_symbols") - F.col("r.mark") - F.col("r.beyond"))
@@ -142,13 +144,14 @@ def distance(own: str, reference: str) -> Column:
 def quality(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) -> DataFrame:
     """Per document: doc_id, the base counts, base_failed, kept, language, both distances.
 
-    Null text has no words, so it fails the base rules. A null or unknown ``lang`` takes the
-    language whose common words the text has most. Rows that share a ``doc_id`` are judged each on
+    Null text has no words, so it fails the base rules. A null ``lang`` takes the language of
+    ``common`` whose words the text has most; the words of a ``lang`` that is not in ``common`` are not
+    judged. Rows that share a ``doc_id`` are judged each on
     its own; an empty table gives no rows; other columns are not read. Without a document that
     passes the base rules a language has no reference and no distance rejects.
     """
     found = stored(counts(docs, common), "quality-counts")
-    # one row per language of ``common``
+    # one row per language
     reference = found.filter(~F.col("base_failed")).select(
         "language", F.posexplode(F.concat("chars", "words")).alias("pos", "n")) \
         .groupBy("language", "pos").agg(F.sum("n").alias("n")) \
@@ -156,7 +159,7 @@ def quality(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) -> Dat
         .select("language", F.transform("all", lambda x: x["n"]).alias("all")) \
         .select("language", F.slice("all", 1, 7).alias("ref_chars"),
                 F.slice("all", 8, 1000).alias("ref_words"))
-    far = found.join(F.broadcast(reference), "language", "left").select(
+    far = found.join(lookup(stored(reference, "references")), "language", "left").select(
         "*", distance("chars", "ref_chars").alias("char_distance"),
         distance("words", "ref_words").alias("word_distance"))
 

@@ -179,11 +179,11 @@ z AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, unnest(r
     SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1) GROUP BY 1),
 m AS (SELECT doc_id, arg_max(language, (len(list_filter(w, lambda x: list_contains(common, x))),
     -ascii(language), -ascii(language[2:]))) AS language FROM a, c GROUP BY 1),
-l AS (SELECT a.*, m.language, common, list_filter(string_split(t, chr(10)),
+l AS (SELECT a.*, m.language, coalesce(common, []) AS common, list_filter(string_split(t, chr(10)),
     lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(z.n, 0) AS n_repeat_words
-  FROM a JOIN m USING (doc_id) LEFT JOIN z USING (doc_id) JOIN c ON c.language =
-    CASE WHEN lang IN (SELECT language FROM c) THEN lang ELSE m.language END),
-f AS (SELECT doc_id, CASE WHEN lang IN (SELECT language FROM c) THEN lang ELSE language END AS language,
+  FROM a JOIN m USING (doc_id) LEFT JOIN z USING (doc_id)
+    LEFT JOIN c ON c.language = coalesce(lang, m.language)),
+f AS (SELECT doc_id, coalesce(lang, language) AS language,
   CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words,
@@ -192,10 +192,10 @@ f AS (SELECT doc_id, CASE WHEN lang IN (SELECT language FROM c) THEN lang ELSE l
   length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS upper,
   length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS digit,
   length(t) - length(regexp_replace(t, '[.,;:!?''"()\\-]', '', 'g')) AS mark,
-  strlen(t) - length(t) AS beyond,
+  length(t) - length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) AS beyond,
   list_transform(common, lambda x: len(list_filter(w, lambda y: y = x))) AS hit FROM l),
 h AS (SELECT *, [space, upper, digit, n_symbols, mark, beyond, greatest(0, size - space - upper - digit
-    - n_symbols - mark - beyond)] AS chars, list_append(hit, n_words - list_sum(hit)) AS words FROM f),
+    - n_symbols - mark - beyond)] AS chars, list_append(hit, n_words - coalesce(list_sum(hit), 0)) AS words FROM f),
 e AS (SELECT language, kind, pos, sum(n) AS n FROM (
     SELECT language, 0 AS kind, generate_subscripts(chars, 1) AS pos, unnest(chars) AS n FROM h
       WHERE NOT base_failed
