@@ -109,7 +109,8 @@ def _sketches(n_ranges: int):
                                  "n": n}).filter(pa.array(n > 0))
                 rows = pa.array(np.flatnonzero(n > 0).astype("<u2"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*ranges, *[n_ranges + chunk % 97] * len(rows)], pa.int64()),
+                    # the documents of a block need no range: they pass in a group of their own
+                    [pa.array([*ranges, *[n_ranges + chunk] * len(rows)], pa.int64()),
                      pa.array([chunk] * (len(ranges) + len(rows)), pa.int64()),
                      pa.array([pack_sorted(sent[edge[r]:edge[r + 1]]) for r in ranges]
                               + [None] * len(rows), pa.binary()),
