@@ -118,37 +118,34 @@ def edited(docs: DataFrame) -> DataFrame:
     rows; other columns are not read.
 
     Only ids and lengths are ordered. Each document then sends its beginning, as much as the one
-    before it needs, to that one.
+    before it needs, to that one. Both steps read one shuffle of the texts by id: everything else is
+    worked out behind it, so that its columns are the same for both.
     """
-    text = F.coalesce("text", F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
-        "doc_id", "text", F.length("text").cast("long").alias("n_chars"))
-    third = F.floor(F.col("n_chars") / 3)
-    ids = stored(own.select("doc_id", third.alias("need"), F.xxhash64("text").alias("stands")).groupBy(
-        "doc_id").agg(F.max("need").alias("need"), F.min("stands").alias("stands")), "order")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")).alias("key"),
+                        F.coalesce("text", F.lit("")).alias("text"))
+    third = F.floor(F.length("text") / 3).cast("int")
+    ids = stored(texts.select("key", third.alias("need"), F.xxhash64("text").alias("stands")).groupBy(
+        "key").agg(F.max("need").alias("need"), F.min("stands").alias("stands")), "order")
+    number = F.expr("try_cast(key AS bigint)")
     # ascending, so that the document before, in descending order, is the next one here
-    order = stored(windowed(ids, [], [F.col("doc_id")], before=("lead", "doc_id"), wanted=("lead", "need"),
-                            place=("row_number",)), "successors")
+    order = stored(windowed(ids.withColumn("number", number), [], [F.col("number")], before=("lead", "key"),
+                            wanted=("lead", "need"), place=("row_number",)), "successors")
     last = order.agg(F.max("place").alias("n"), F.min_by("need", "place").alias("need"),
-                     F.min_by("doc_id", "place").alias("doc_id")).first()
+                     F.min_by("key", "place").alias("key")).first()
     # the largest id follows the smallest one
-    order = order.select(
-        F.col("doc_id").alias("of"), "stands",
-        F.when(F.col("place") == last["n"], F.lit(last["doc_id"])).otherwise(F.col("before")).cast("long")
-        .alias("before"),
-        F.when(F.col("place") == last["n"], F.lit(last["need"])).otherwise(F.col("wanted")).cast("int")
-        .alias("wanted"))
-    marked = own.withColumn("fingerprint", fingerprint(F.col("text")))
-    begins = marked.join(order, marked["doc_id"].eqNullSafe(order["of"])
-                         & (F.xxhash64("text") == F.col("stands"))).select(
-        "before", F.substring("text", F.lit(1), F.col("wanted")).alias("begin"),
-        F.col("fingerprint").alias("next_fingerprint"))
-    begins = begins.groupBy("before").agg(F.first("begin").alias("begin"),
-                                          F.first("next_fingerprint").alias("next_fingerprint"))
-    both = marked.join(begins, marked["doc_id"].eqNullSafe(begins["before"])).select(
-        "doc_id", "n_chars", "fingerprint", "next_fingerprint",
-        F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")),
-                 F.substring("begin", F.lit(1), third.cast("int"))).alias("edited"))
+    end = F.col("place") == last["n"]
+    order = order.select("key", "stands", F.when(end, F.lit(last["key"])).otherwise(F.col("before")).alias("before"),
+                         F.when(end, F.lit(last["need"])).otherwise(F.col("wanted")).cast("int").alias("wanted"))
+    begins = texts.join(order, "key").filter(F.xxhash64("text") == F.col("stands")).select(
+        F.col("before").alias("key"), F.substring("text", F.lit(1), F.col("wanted")).alias("begin"),
+        fingerprint(F.col("text")).alias("next_fingerprint"))
+    begins = begins.groupBy("key").agg(F.first("begin").alias("begin"),
+                                       F.first("next_fingerprint").alias("next_fingerprint"))
+    both = texts.join(begins, "key").select(
+        number.alias("doc_id"), F.length("text").cast("long").alias("n_chars"),
+        fingerprint(F.col("text")).alias("fingerprint"), "next_fingerprint",
+        F.concat(F.substring("text", F.lit(1), F.length("text") - third),
+                 F.substring("begin", F.lit(1), third)).alias("edited"))
     return both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
         fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint").select(
