@@ -27,7 +27,7 @@ from .text import blocks, flat, span_hash
 from .tokens import _AS_TEXT, Coder
 
 #: distinct parts whose ids a worker keeps
-KEEP = 300_000
+KEEP = 120_000
 #: bytes after which a new lane may begin
 LANE = 256
 #: links counted at once before equal pairs are added up
@@ -201,6 +201,24 @@ def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, last: np.ndarray) -> tuple[
 _pairs: dict[tuple[str, str], Pair] = {}
 
 
+def _aligned(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str):
+    """Per block of (doc_id, text): the ids, the ends of the rows' ids, the places of the last ids of
+    all groups, and the ends of the rows' groups."""
+    if (path_a, path_b) not in _pairs:
+        _pairs[path_a, path_b] = Pair(path_a, path_b)
+    pair = _pairs[path_a, path_b]
+    for batch in batches:
+        for block in blocks(batch, 1):
+            (ids_a, ends_a, off_a), (ids_b, ends_b, off_b) = pair.column(block.column(1))
+            through = off_a[1:][np.diff(off_a) > 0]
+            at_a, at_b = lockstep(ends_a, ends_b, ends_a[through - 1])
+            yield block.column(0), ids_a, ids_b, off_a, off_b, at_a, at_b, np.searchsorted(at_a, off_a)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Per row: doc_id, the ids of both tokenizers, and per group how many A and B ids end with it.
 
@@ -208,34 +226,20 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     Rows that share a ``doc_id``, or have none, are aligned each on its own; an empty table gives no
     rows; other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
     def lists(values: np.ndarray, off: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values.astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path_a, path_b) not in _pairs:
-            _pairs[path_a, path_b] = Pair(path_a, path_b)
-        pair = _pairs[path_a, path_b]
-        for batch in batches:
-            for block in blocks(batch, 1):
-                (ids_a, ends_a, off_a), (ids_b, ends_b, off_b) = pair.column(block.column(1))
-                through = off_a[1:][np.diff(off_a) > 0]
-                at_a, at_b = lockstep(ends_a, ends_b, ends_a[through - 1])
-                groups = np.searchsorted(at_a, off_a)
-                yield pa.RecordBatch.from_arrays(
-                    [block.column(0), lists(ids_a, off_a), lists(ids_b, off_b),
-                     lists(at_a + 1 - np.repeat(off_a[:-1], np.diff(groups)), groups),
-                     lists(at_b + 1 - np.repeat(off_b[:-1], np.diff(groups)), groups)],
-                    names=["doc_id", "a_ids", "b_ids", "a_upto", "b_upto"])
-
-    return rows.mapInArrow(run, "doc_id long, a_ids array<int>, b_ids array<int>, "
-                                "a_upto array<int>, b_upto array<int>")
-
+        for ident, ids_a, ids_b, off_a, off_b, at_a, at_b, groups in _aligned(batches, path_a, path_b):
+            n = np.diff(groups)
+            yield pa.RecordBatch.from_arrays(
+                [ident, lists(ids_a, off_a), lists(ids_b, off_b),
+                 lists(at_a + 1 - np.repeat(off_a[:-1], n), groups),
+                 lists(at_b + 1 - np.repeat(off_b[:-1], n), groups)],
+                names=["doc_id", "a_ids", "b_ids", "a_upto", "b_upto"])
 
-def _flat_list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    off = column.offsets.to_numpy().astype(np.int64)
-    return column.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]], off - off[0]
+    return _rows(docs).mapInArrow(run, "doc_id long, a_ids array<int>, b_ids array<int>, "
+                                       "a_upto array<int>, b_upto array<int>")
 
 
 _digits: list[tuple[np.ndarray, np.ndarray]] = []
@@ -281,29 +285,24 @@ def written(ids_a, ids_b, at_a, at_b, ends) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], upto[np.maximum.accumulate(stop)]])
 
 
-def digest(aligned: DataFrame, n_b: int) -> DataFrame:
-    """Per row of ``align``: the sizes, the hash of the written groups, and the links as numbers
-    ``a * n_b + b`` of 8 bytes each."""
+def digest(docs: DataFrame, path_a: str, path_b: str, n_b: int) -> DataFrame:
+    """Per row, from the same merge as ``align``: the sizes, the hash of the written groups, and the
+    links as numbers ``a * n_b + b`` of 8 bytes each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (ids_a, off_a), (ids_b, off_b), (upto_a, groups), (upto_b, _) = (
-                _flat_list(batch.column(i)) for i in range(1, 5))
-            n = np.diff(groups)
-            at_a = upto_a + np.repeat(off_a[:-1], n) - 1
-            at_b = upto_b + np.repeat(off_b[:-1], n) - 1
+        for ident, ids_a, ids_b, off_a, off_b, at_a, at_b, groups in _aligned(batches, path_a, path_b):
             text, where = written(ids_a, ids_b, at_a, at_b, groups[1:])
             code = (ids_a[at_a].astype(np.int64) * n_b + ids_b[at_b]).astype("<i8").tobytes()
             raw = text.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(off_a)), pa.array(np.diff(off_b)), pa.array(n),
+                [ident, pa.array(np.diff(off_a)), pa.array(np.diff(off_b)), pa.array(np.diff(groups)),
                  pa.array([hashlib.sha256(raw[s:e]).hexdigest() if e > s else ""
                            for s, e in zip(where[:-1].tolist(), where[1:].tolist())], pa.string()),
                  pa.array([code[8 * s:8 * e] for s, e in zip(groups[:-1].tolist(), groups[1:].tolist())],
                           pa.binary())],
                 names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
 
-    return aligned.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, "
-                                   "groups_sha256 string, links binary")
+    return _rows(docs).mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, "
+                                       "groups_sha256 string, links binary")
 
 
 def _links(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -380,4 +379,4 @@ def alignment(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     import sentencepiece
 
     n_b = sentencepiece.SentencePieceProcessor(model_file=path_b).get_piece_size()
-    return linked(stored(digest(align(docs, path_a, path_b), n_b), "alignment"), n_b)
+    return linked(stored(digest(docs, path_a, path_b, n_b), "alignment"), n_b)
