@@ -136,7 +136,9 @@ def edited(docs: DataFrame) -> DataFrame:
     end = F.col("place") == last["n"]
     order = order.select("key", "stands", F.when(end, F.lit(last["key"])).otherwise(F.col("before")).alias("before"),
                          F.when(end, F.lit(last["need"])).otherwise(F.col("wanted")).cast("int").alias("wanted"))
-    begins = texts.join(order, "key").filter(F.xxhash64("text") == F.col("stands")).select(
+    # not an equality, which would become a second key of the join and a shuffle of its own
+    stands = F.xxhash64("text").bitwiseXOR(F.col("stands")) == 0
+    begins = texts.join(order, "key").filter(stands).select(
         F.col("before").alias("key"), F.substring("text", F.lit(1), F.col("wanted")).alias("begin"),
         fingerprint(F.col("text")).alias("next_fingerprint"))
     begins = begins.groupBy("key").agg(F.first("begin").alias("begin"),
