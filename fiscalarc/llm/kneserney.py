@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,7 +189,9 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), i) for i, d in enumerate(each, 1))
 
 
-_maps: dict[tuple[str, str], np.ndarray] = {}
+#: files a worker has mapped at once: a map holds a descriptor, and a model has files by the range
+OPEN = 256
+_maps: OrderedDict[tuple[str, str], np.ndarray] = OrderedDict()
 
 
 class Model:
@@ -212,6 +215,9 @@ class Model:
             path = f"{self.folder}/{name}"
             size = os.path.getsize(path) if os.path.exists(path) else 0
             _maps[key] = np.memmap(path, dtype, "r") if size else np.empty(0, dtype)
+            while len(_maps) > OPEN:  # the one not used for longest is closed
+                _maps.popitem(last=False)
+        _maps.move_to_end(key)
         return _maps[key]
 
     def find(self, kind: int, keys: np.ndarray, width: int = 1) -> np.ndarray:

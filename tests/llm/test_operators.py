@@ -369,3 +369,20 @@ def test_kth_largest(spark):
                 assert resampling.kth_largest(df, "v", k) == sorted(values, reverse=True)[k - 1]
             finally:
                 resampling.FEW = old
+
+
+def test_open_files_do_not_grow_with_the_model(docs, corpus, monkeypatch):
+    import os
+
+    monkeypatch.setattr(kneserney, "RANGE_KEYS", 20)  # very many small files
+    model = kneserney.train(docs)
+    texts = pa.array([r[1] for r in corpus], pa.string())
+    assert model.n_ranges > 100
+    kneserney._maps.clear()
+    want = model.score(texts)
+    monkeypatch.setattr(kneserney, "OPEN", 8)
+    kneserney._maps.clear()
+    before = len(os.listdir("/proc/self/fd"))
+    got = model.score(texts)
+    assert len(kneserney._maps) <= 8 and len(os.listdir("/proc/self/fd")) <= before + 10
+    assert all((got[c] == want[c]).all() for c in want)
