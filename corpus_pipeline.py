@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from fiscalarc.llm import fmindex, jaccard, nnpu, packing, resampling
 from fiscalarc.llm.queries import tokenizer_path
 from fiscalarc.llm.shared import lookup, stored, table
+from fiscalarc.scale import pick
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """``docs`` less the rows whose ``doc_id`` is in ``rejected``."""
     ids = stored(rejected.select(F.col("doc_id").alias("rejected_id")).distinct(), "rejected")
-    return docs.join(lookup(ids), F.col("doc_id") == F.col("rejected_id"), "left_anti")
+    return docs.join(lookup(ids), docs["doc_id"] == ids["rejected_id"], "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +36,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest ``doc_id`` of every group of near copies, once."""
+    """The smallest ``doc_id`` of every group of near copies, once: of rows that share it the first by
+    text, language, source and length."""
     found, _ = jaccard.join(docs)
     kept = _without(docs, found.filter("doc_id <> component_id"))
     rows = kept.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     twice = stored(rows.filter("n > 1").select("doc_id"), "repeated")
-    once = kept.join(lookup(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    once = pick(kept.join(lookup(twice), "doc_id", "left_semi"), ["doc_id"],
+                F.struct("text", "lang", "source", "n_chars"), latest=False)
     return _without(kept, twice).unionByName(once.select(kept.columns))
 
 

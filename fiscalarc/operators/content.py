@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,11 +99,56 @@ def formula_metric(df: DataFrame, formulas: list[tuple[str, str]]) -> DataFrame:
     return out
 
 
-def glossary_tag(docs: DataFrame, terms: DataFrame, ident: str, text: str) -> DataFrame:
-    """Glossary terms per document with their number of occurrences (whole words)."""
-    words = docs.select(ident, F.explode(tokens(text)).alias("term"))
-    return words.join(small(terms), "term").groupBy(ident, "term").agg(
-        F.count(F.lit(1)).alias("n"))
+def _marked(words: Column) -> Column:
+    """Every word between spaces of its own, so that phrases match whole words and may touch."""
+    return F.array_join(F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" "))), "")
+
+
+def glossary_tag(docs: DataFrame, terms: DataFrame, ident: str, text: str, limit: int = 1_000_000
+                 ) -> DataFrame:
+    """Glossary terms of any number of words per document, with their number of occurrences.
+
+    Terms and texts are compared by their words. An occurrence inside that of a longer term does not
+    count; terms that only overlap do. Terms of equal words are one, the first; terms without a word
+    and null texts match nothing. One automaton holds all terms, so a text is read once whatever
+    their number; a glossary of more than ``limit`` terms is an error.
+    """
+    listed = terms.select("term", _marked(tokens("term")).alias("_m")).filter("_m <> ''").groupBy("_m").agg(
+        F.min("term").alias("term")).limit(limit + 1).collect()
+    if len(listed) > limit:
+        raise ValueError(f"more than {limit} glossary terms")
+    phrases = sorted((r["_m"], r["term"]) for r in listed)
+    rows = docs.select(ident, _marked(tokens(text)).alias("_t")).filter("_t <> ''")
+    kind = rows.schema[ident].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for i, (phrase, _) in enumerate(phrases):
+            automaton.add_word(phrase, (i, len(phrase)))
+        automaton.make_automaton()
+        for batch in batches:
+            where, which, count = [], [], []
+            for row, words in enumerate(batch.column(1).to_pylist()):
+                found, upto = Counter(), -1
+                spans = sorted((end - size, -end, i) for end, (i, size) in automaton.iter(words))
+                for _, end, i in spans:
+                    if -end > upto:
+                        found[i] += 1
+                        upto = -end
+                for i, n in found.items():
+                    where.append(row)
+                    which.append(phrases[i][1])
+                    count.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(where, pa.int64())), pa.array(which, pa.string()),
+                 pa.array(count, pa.int64())], names=[ident, "term", "n"])
+
+    if not phrases:
+        return rows.select(ident, F.lit("").alias("term"), F.lit(0).cast("long").alias("n")).limit(0)
+    found = rows.mapInArrow(run, f"`{ident}` {kind}, term string, n long")
+    return found.groupBy(ident, "term").agg(F.sum("n").alias("n"))
 
 
 def classify_sensitivity(docs: DataFrame, text: str, patterns: dict[str, str] = SENSITIVE

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import day, money, ratio
@@ -698,6 +701,34 @@ FROM l GROUP BY 1""")(
     lambda t: A.profile_table(t.line, ["quantity", "total", "discount", "tax"]))
 
 
+@query("profile_sketch", """
+WITH l AS (SELECT unnest(['quantity', 'total', 'discount', 'tax']) AS column_name,
+  unnest([CAST(quantity AS DECIMAL(18,2)), total, CAST(discount AS DECIMAL(18,2)),
+    CAST(tax AS DECIMAL(18,2))]) AS value FROM x_line)
+SELECT column_name, count(*) AS n_rows, count(*) FILTER (value IS NULL) AS n_nulls,
+  CAST(min(value) AS DOUBLE) AS low, CAST(max(value) AS DOUBLE) AS high,
+  count(DISTINCT value) AS n_distinct, TRUE AS distinct_within_3_percent, TRUE AS median_within_2_percent_of_rows
+FROM l GROUP BY 1""")
+def _(t):
+    """Sketches per execution mode, merged, with their error measured beside the exact figures."""
+    columns = ["quantity", "total", "discount", "tax"]
+    lines = t.line_activity.select("execution_mode", *columns)
+    modes = [r[0] for r in t.activity.select("execution_mode").distinct().collect()]  # three
+    parts = [A.sketch_profile(lines.filter(F.col("execution_mode") == m), columns) for m in sorted(modes)]
+    told = A.read_profile(A.merge_profiles(reduce(DataFrame.unionByName, parts)))
+    told = told.withColumnRenamed("n_distinct", "estimate").withColumnRenamed("median", "middle")
+    exact = A.profile_table(t.line, columns).select("column_name", "n_distinct")
+    below = t.line.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double")
+                                                       .alias("value")) for c in columns])).alias("x")).select(
+        "x.*").join(F.broadcast(told.select("column_name", "middle")), "column_name").groupBy("column_name").agg(
+        F.avg((F.col("value") < F.col("middle")).cast("double")).alias("less"),
+        F.avg((F.col("value") <= F.col("middle")).cast("double")).alias("upto"))
+    return told.join(exact, "column_name").join(below, "column_name").select(
+        "column_name", "n_rows", "n_nulls", "low", "high", "n_distinct",
+        (F.abs(F.col("estimate") - F.col("n_distinct")) <= 0.03 * F.col("n_distinct")).alias("distinct_within_3_percent"),
+        ((F.col("less") <= 0.52) & (F.col("upto") >= 0.48)).alias("median_within_2_percent_of_rows"))
+
+
 @query("migration_reconcile", """
 WITH s AS (SELECT * FROM x_act), r AS (SELECT * FROM x_act WHERE allocation < 1000),
 d AS (SELECT * FROM x_act WHERE allocation >= 1000)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import retrieval as Q
 from ..operators.aggregates import retrieval_metrics
 from ..operators.content import SENSITIVE
+from ..session import work_dir
 from .registry import VIEWS, query
 
 SIZE = 600
@@ -122,6 +123,18 @@ SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER
     lambda t: Q.search_dense(t.raw("embeddings"), Q.centroids(t.raw("embeddings"), "label"), 10)
     .select("query_id", "vec_id", "score", "rank"))
 
+
+
+@query("search_indexed")
+def _(t):
+    """Every twentieth vector against all, through the index; tests measure its recall."""
+    vectors, path = t.raw("embeddings"), work_dir(t.spark, "vectors")
+    Q.build_vector_index(vectors, path)
+    queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"),
+                                                      F.col("embedding").alias("vector"))
+    return Q.search_vector_index(t.spark, path, queries, 10, probes=8)
+
+
 query("search_filtered", f"""
 SELECT query_id, doc_id, score, rank FROM ({_bm25("lang = 'en'")}) WHERE rank <= 10""")(
     lambda t: Q.search_filtered(t.document, questions(t), F.col("lang") == "en", 10).select(
@@ -130,8 +143,9 @@ SELECT query_id, doc_id, score, rank FROM ({_bm25("lang = 'en'")}) WHERE rank <=
 
 def fused(t):
     q = questions(t)
-    return Q.fuse_rankings([Q.search_lexical(t.document, q, 20), Q.search_sparse(t.document, q, 20)],
-                           10)
+    index = Q.corpus_index(t.document, q)  # one for both searches
+    return Q.fuse_rankings([Q.search_lexical(t.document, q, 20, index=index),
+                            Q.search_sparse(t.document, q, 20, index=index)], 10)
 
 
 query("fuse_rankings", "SELECT query_id, doc_id, score, n_lists, rank FROM x_fused")(fused)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.columns import day, money
+from ..functions.columns import day, money, tokens
 from ..operators import content as X
 from ..operators import derive as D
 from ..sources import rules as R
@@ -174,10 +174,27 @@ FROM x_lu GROUP BY program""")(
     lambda t: X.formula_metric(metric_base(t), R.TABLES["metric"][1]).select(
         "program", "discount_rate", "unit_cost", "closed_share"))
 
-query("glossary_tag", """
-SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(words) AS term FROM x_words)
-JOIN x_glossary USING (term) GROUP BY ALL""")(
-    lambda t: X.glossary_tag(t.document, t.rule("glossary"), "doc_id", "text"))
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+# the rule terms, and of each benchmark text its first one to six words
+@query("glossary_tag", f"""
+WITH b AS (SELECT {_WORDS.format("text")} AS w FROM benchmark),
+g AS (SELECT term FROM x_glossary UNION SELECT array_to_string(w[1:1 + len(w) % 6], ' ') FROM b),
+t AS (SELECT p, n, min(term) AS term FROM (SELECT term, array_to_string(w, ' ') AS p, len(w) AS n FROM (
+    SELECT term, {_WORDS.format("term")} AS w FROM g)) WHERE n > 0 GROUP BY p, n),
+k AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM x_words),
+d AS (SELECT doc_id, i, [w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o,
+    lead(w, 5) OVER o] AS w FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT doc_id, i, t.n, term FROM (SELECT doc_id, i, n, array_to_string(w[1:n], ' ') AS p
+    FROM d, range(1, 7) r(n) WHERE w[n] IS NOT NULL) x JOIN t ON t.p = x.p AND t.n = x.n)
+SELECT doc_id, term, count(*) AS n FROM m WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.doc_id = m.doc_id
+  AND b.i <= m.i AND b.i + b.n >= m.i + m.n AND b.n > m.n) GROUP BY ALL""")
+def _(t):
+    words = tokens("text")
+    phrases = t.raw("benchmark").select(F.array_join(F.slice(words, F.lit(1), 1 + F.size(words) % 6), " ").alias("term"))
+    return X.glossary_tag(t.document, t.rule("glossary").select("term").unionByName(phrases), "doc_id", "text")
+
 
 _S = X.SENSITIVE
 query("classify_sensitivity", f"""

@@ -90,10 +90,11 @@ def apply_cdc(base: DataFrame, changes: DataFrame, keys: list[str], order: str,
 
 def read_events(spark: SparkSession, path: str, schema: str | None = None,
                 servers: str | None = None) -> DataFrame:
-    """Event stream from files, or from a broker topic when ``servers`` is given."""
+    """Event stream from files, or from a broker topic when ``servers`` is given (see ``decode_events``)."""
     if servers:
-        return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-                .option("subscribe", path).load())
+        raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
+               .option("subscribe", path).load())
+        return decode_events(raw, schema or landed("events"))
     reader = spark.readStream.schema(schema or landed("events"))
     if not _is_folder(spark, path):  # a stream source watches folders: watch the file's own
         folder, _, name = path.rpartition("/")
@@ -102,6 +103,20 @@ def read_events(spark: SparkSession, path: str, schema: str | None = None,
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def decode_events(raw: DataFrame, schema: str | T.StructType) -> DataFrame:
+    """Events from broker records (``value``: JSON in bytes) with the columns of ``schema``, ``ts`` as a
+    timestamp, and ``malformed``: the text of a record that is not such an event, null for the others.
+    A malformed record has nulls in all other columns and is never dropped."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    wanted = T.StructType([*fields.fields, T.StructField("malformed", T.StringType())])
+    text = F.col("value").cast("string")
+    event = F.from_json(text, wanted, {"columnNameOfCorruptRecord": "malformed", "mode": "PERMISSIVE"})
+    rows = raw.select(event.alias("e"), text.alias("_text")).select("e.*", "_text")
+    bad = F.coalesce("malformed", F.when(F.col("_text").isNull() | (F.trim("_text") == ""), F.coalesce("_text", F.lit(""))))
+    return rows.select(*[F.when(bad.isNull(), F.col(f.name).cast("timestamp") if f.name == "ts" else F.col(f.name))
+                         .alias(f.name) for f in fields], bad.alias("malformed"))
+
+
 def _is_folder(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -154,8 +154,12 @@ TABLES: dict[str, tuple[list[tuple[str, str]], list[tuple]]] = {
         ("MACHINERY", 6)]),
     "glossary": ([("term", "string"), ("definition", "string")], [
         ("ae", "authorisation to commit"), ("cp", "payment credit"),
-        ("pap", "annual performance plan"), ("nation", "national level"), ("the", "test term"),
-        ("tion", "test term"), ("queen", "test term"), ("leau", "test term")]),
+        ("pap", "annual performance plan"), ("nation", "national level"),
+        ("annual performance plan", "what a program commits to for a year"),
+        ("authorisation to commit", "ceiling of the commitments of a year"),
+        ("payment credit", "ceiling of the payments of a year"),
+        ("public procurement", "purchases under the procurement rules"),
+        ("medium term expenditure framework", "ceilings of several years")]),
     "imputation_rule": ([("resource_type", "string"), ("allowed", "string")], [
         ("ECONOMY", "SUPPLIES"), ("ECONOMY", "OTHER"), ("STANDARD", "SERVICES"),
         ("STANDARD", "SUPPLIES"), ("PROMO", "SERVICES"), ("SMALL", "SUPPLIES"),
