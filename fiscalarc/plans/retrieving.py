@@ -132,7 +132,7 @@ def _(t):
     Q.build_vector_index(vectors, path)
     queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"),
                                                       F.col("embedding").alias("vector"))
-    return Q.search_vector_index(t.spark, path, queries, 10, probes=8)
+    return Q.search_vector_index(t.spark, path, queries, 10)
 
 
 query("search_filtered", f"""
