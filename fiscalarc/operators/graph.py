@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import normalise_label
 from ..scale import small, windowed
-from ..session import cut
+from ..session import cut, stored
 
 
 def build_graph(parts: list[tuple[DataFrame, str, str, str, str, str, float]]) -> tuple[DataFrame, DataFrame]:
@@ -76,28 +76,35 @@ def subtree_intervals(edges: DataFrame, child: str, parent: str) -> DataFrame:
                                                      (pre + F.col("size") - 1).alias("post"))
 
 
-def lineage_trace(edges: DataFrame, starts: DataFrame, direction: str = "up") -> DataFrame:
+def lineage_trace(edges: DataFrame, starts: DataFrame, direction: str = "up", paths: bool = False) -> DataFrame:
     """Everything upstream or downstream of the start nodes: (start, node, previous, depth).
 
     A round goes one step from the nodes the last one found and keeps those not reached before, so
     rows grow with nodes and edges and not with the number of paths, and cycles end. ``depth`` is the
     least number of steps and ``previous`` the node before on a shortest path, the least of several;
-    ``lineage_paths`` follows it back to the start.
+    ``lineage_paths`` follows it back to the start. With ``paths`` the rounds carry ``path``, the nodes of
+    that path after the start, so that nothing is followed back. The edges are written once.
     """
     a, b = ("dst", "src") if direction == "up" else ("src", "dst")
-    e = edges.select(F.col(a).alias("previous"), F.col(b).alias("node")).filter(
-        F.col("previous").isNotNull() & F.col("node").isNotNull()).distinct()
+    e = stored(edges.select(F.col(a).alias("previous"), F.col(b).alias("node")).filter(
+        F.col("previous").isNotNull() & F.col("node").isNotNull()).distinct(), "edges")
     kind = e.schema["node"].dataType
-    frontier = cut(starts.select(F.col("id").alias("start"), F.col("id").alias("node"),
-                                 F.lit(None).cast(kind).alias("previous"), F.lit(0).alias("depth")).filter(
-        "node is not null").distinct())
+    frontier = stored(starts.select(F.col("id").alias("start"), F.col("id").alias("node"),
+                                    F.lit(None).cast(kind).alias("previous"), F.lit(0).alias("depth")).filter(
+        "node is not null").distinct(), "reached")
+    if paths:
+        frontier = frontier.withColumn("path", F.array().cast(f"array<{kind.simpleString()}>"))
+    kept = ["previous", "path"] if paths else ["previous"]
     found = [frontier]
     while True:
-        steps = frontier.select("start", F.col("node").alias("previous")).join(e, "previous").groupBy(
-            "start", "node").agg(F.min("previous").alias("previous"))
+        steps = frontier.select("start", F.col("node").alias("previous"), *kept[1:]).join(e, "previous").groupBy(
+            "start", "node").agg(F.min(F.struct(*kept)).alias("_l")).select("start", "node", "_l.*")
+        if paths:
+            steps = steps.withColumn("path", F.concat("path", F.array("node")))
         # a node is new unless an earlier round reached it
         fresh = steps.join(_union(found).select("start", "node"), ["start", "node"], "left_anti")
-        frontier = cut(fresh.withColumn("depth", F.lit(len(found))))
+        frontier = stored(fresh.select("start", "node", "previous", F.lit(len(found)).alias("depth"), *kept[1:]),
+                          "reached")
         if frontier.isEmpty():
             return _union(found).filter("depth > 0")
         found.append(frontier)
@@ -106,8 +113,10 @@ def lineage_trace(edges: DataFrame, starts: DataFrame, direction: str = "up") ->
 def lineage_paths(traced: DataFrame) -> DataFrame:
     """``lineage_trace`` with the shortest path from the start to each node as an array.
 
-    Paths are joined by doubling along ``previous``: log2(depth) rounds.
+    Paths that the trace did not carry are joined by doubling along ``previous``: log2(depth) rounds.
     """
+    if "path" in traced.columns:
+        return traced.select("start", "node", "depth", F.concat(F.array("start"), "path").alias("path"))
     depth = traced.agg(F.max("depth").alias("d")).first()["d"] or 0
     # the path between an ancestor on the way (exclusive) and the node; starts lead to themselves
     state = cut(traced.select("start", "node", "depth", F.col("previous").alias("_at"),
