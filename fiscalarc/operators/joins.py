@@ -258,18 +258,16 @@ def object_360(activities: DataFrame, lines: DataFrame, payments: DataFrame,
         "page", F.floor((F.col("_r") - 1) / page))
     tasks = paged.groupBy("activity_id", "page").agg(F.array_sort(F.collect_list(
         F.struct("seq", "resource_id", "supplier_id", "total", "line_status"))).alias("tasks"))
-    costing = lines.groupBy("activity_id").agg(
-        F.struct(F.count(F.lit(1)).alias("n_lines"), F.sum("total").cast(MONEY).alias("cost"))
-        .alias("costing"))
-    bought = lines.groupBy("activity_id", "supplier_id").agg(F.sum("total").alias("_t")).groupBy(
-        "activity_id").agg(F.struct(F.count(F.lit(1)).alias("n_contracts"),
-                                    F.max("_t").cast(MONEY).alias("largest"))
-                           .alias("procurement"))
+    bought = lines.groupBy("activity_id", "supplier_id").agg(
+        F.sum("total").alias("_t"), F.count(F.lit(1)).alias("_n")).groupBy("activity_id").agg(
+        F.struct(F.sum("_n").alias("n_lines"), F.sum("_t").cast(MONEY).alias("cost")).alias("costing"),
+        F.struct(F.count(F.lit(1)).alias("n_contracts"), F.max("_t").cast(MONEY).alias("largest"))
+        .alias("procurement"))
     done = payments.filter(~F.col("rejected")).groupBy("activity_id").agg(
         F.struct(F.sum("amount").cast(MONEY).alias("paid"), F.max("pay_date").alias("last"))
         .alias("execution"))
-    return (activities.join(tasks, "activity_id", "left").join(costing, "activity_id", "left")
-            .join(bought, "activity_id", "left").join(done, "activity_id", "left"))
+    return (activities.join(tasks, "activity_id", "left").join(bought, "activity_id", "left")
+            .join(done, "activity_id", "left"))
 
 
 def orphan_references(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
