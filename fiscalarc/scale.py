@@ -1,7 +1,7 @@
 """Helpers that keep jobs even when one group holds a large share of all rows.
 
-``windowed`` computes window functions per group. Large inputs are dealt into ranges of (group,
-order): the window runs inside each range and the totals of the groups that span ranges are carried
+``windowed`` computes window functions per group. Large inputs with a group that is too large for one
+task are dealt into ranges of (group, order): the window runs inside each range and the totals of the groups that span ranges are carried
 over, so the answer is that of the plain window and no task ever sees a whole hot group.
 """
 
@@ -44,6 +44,19 @@ def _left(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(F.broadcast(renamed), cond, "left").drop(*[f"_k_{k}" for k in keys])
 
 
+#: groups are counted in so many buckets; none is larger than its bucket
+BUCKETS = 1 << 16
+
+
+def _may_be_hot(df: DataFrame, keys: list[str], rows: int) -> bool:
+    """Whether a group may have more than ``rows`` rows; the counts are combined map-side."""
+    if not keys:
+        return True
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_b")
+    most = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    return (most or 0) > rows
+
+
 def windowed(df: DataFrame, keys: list[str], order: list[Column], **outs: tuple) -> DataFrame:
     """Add window columns per ``keys`` in ``order`` (ascending expressions; negate to reverse).
 
@@ -55,7 +68,8 @@ def windowed(df: DataFrame, keys: list[str], order: list[Column], **outs: tuple)
     names = [f"_o{i}" for i in range(len(order))]
     base = df.select("*", *[c.alias(n) for c, n in zip(order, names)])
     rows = _conf(df, SPLIT_MIN_ROWS, 1_000_000)
-    if plan_bytes(base) >= _conf(df, SPLIT_MIN_BYTES, 256 << 20):
+    # without a large group the tasks of the plain window are small, and nothing is written
+    if plan_bytes(base) >= _conf(df, SPLIT_MIN_BYTES, 256 << 20) and _may_be_hot(df, keys, rows):
         # the estimate multiplies over joins: the input is written once and its rows are counted
         base = cut(base)
         total = base.count()
