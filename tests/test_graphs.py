@@ -161,6 +161,20 @@ def test_lineage_is_shortest_and_small(spark):
     assert graph.lineage_paths(graph.lineage_trace(rows, spark.sql("SELECT 'zz' AS id"))).collect() == []
 
 
+def test_carried_paths_equal_followed_ones(spark):
+    rng = random.Random(12)
+    edges = {(rng.randrange(30), rng.randrange(30)) for _ in range(70)}
+    rows = spark.createDataFrame(sorted(edges), "src long, dst long")
+    starts = spark.createDataFrame([(3,), (7,), (99,)], "id long")
+    for way in ("up", "down"):
+        carried = graph.lineage_trace(rows, starts, way, paths=True)
+        assert "path" in carried.columns
+        followed = graph.lineage_paths(graph.lineage_trace(rows, starts, way))
+        got = graph.lineage_paths(carried)
+        assert sorted(map(str, got.collect())) == sorted(map(str, followed.collect())) and got.count() > 10
+    assert graph.lineage_paths(graph.lineage_trace(rows, starts.limit(0), paths=True)).collect() == []
+
+
 def test_revisions_reach_everything_below(spark):
     parent = forest()
     leaves = sorted(set(parent) - set(parent.values()))

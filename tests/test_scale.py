@@ -79,3 +79,18 @@ def test_broadcast_is_size_checked(spark):
     tiny, large = spark.sql("SELECT * FROM VALUES (1), (2) AS t(a)"), spark.range(10**9)
     assert "broadcast" in scale.small(tiny)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in scale.small(large)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_no_copy_without_a_hot_group(spark, split, monkeypatch):
+    def none(_):
+        raise AssertionError("the input was written")
+
+    monkeypatch.setattr(scale, "cut", none)
+    df = skewed(spark).filter("g is not null")  # 8,000 rows, at most 1,000 in a group
+    got = scale.windowed(df, ["g"], [F.col("o"), F.col("id")], rn=("row_number",), size=("size",))
+    spark.conf.set(scale.SPLIT_MIN_BYTES, str(1 << 60))
+    assert got.exceptAll(scale.windowed(df, ["g"], [F.col("o"), F.col("id")], rn=("row_number",), size=("size",))) \
+        .count() == 0
+    spark.conf.set(scale.SPLIT_MIN_BYTES, "0")
+    with pytest.raises(AssertionError, match="written"):
+        scale.windowed(skewed(spark), ["g"], [F.col("o")], rn=("row_number",))
