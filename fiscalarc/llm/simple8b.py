@@ -34,6 +34,16 @@ SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8
              (4, 15), (3, 20), (2, 30)]
 ESCAPE = 15
 _COUNT = np.array([n for n, _ in SELECTORS] + [0] * (ESCAPE - len(SELECTORS)) + [1], np.int64)
+_LIMITS = np.array([1 << bits for _, bits in SELECTORS], np.uint64)
+
+
+def _widened(most: np.ndarray, by: int) -> np.ndarray:
+    """Maxima of windows of each row, for windows that reach ``by`` further and end with the row."""
+    if not by:
+        return most
+    out = most.copy()
+    np.maximum(out[:, :-by], most[:, by:], out=out[:, :-by])
+    return out
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,14 +53,18 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n_blocks = -(-n // BLOCK_IDS)
     if not n:
         return np.empty(0, np.uint64), np.zeros(1, np.uint32)
-    end = np.minimum((np.arange(n) // BLOCK_IDS + 1) * BLOCK_IDS, n)
-    choice = np.full(n, ESCAPE, np.int64)
+    # per id the first selector with enough bits; per window of ids, in blocks side by side, the largest
+    needs = np.zeros((n_blocks, BLOCK_IDS), np.uint8)
+    needs.ravel()[:n] = np.searchsorted(_LIMITS, ids, side="right")
+    most, choice = {1: needs}, np.full(needs.shape, ESCAPE, np.uint8)
     for s in reversed(range(len(SELECTORS))):  # a later, denser selector replaces an earlier one
-        count, bits = SELECTORS[s]
-        wide = np.concatenate([[0], np.cumsum(ids >> np.uint64(bits) != 0)])
-        stop = np.minimum(np.arange(n) + count, end)
-        choice[wide[stop] == wide[:-1]] = s
-    step = np.minimum(_COUNT[choice], end - np.arange(n))
+        count = SELECTORS[s][0]
+        half = 1 << (count.bit_length() - 1)
+        if half not in most:
+            most[half] = _widened(most[half // 2], half // 2)
+        choice[_widened(most[half], count - half) <= s] = s
+    choice = choice.ravel()[:n]
+    step = np.minimum(_COUNT[choice], np.minimum(BLOCK_IDS - np.arange(n) % BLOCK_IDS, n - np.arange(n)))
     starts, at = [], np.arange(n_blocks) * BLOCK_IDS
     while len(at):
         starts.append(at)

@@ -1,8 +1,8 @@
 """Token ids of whole texts with the tokenizers library, each distinct word encoded once per worker.
 
 A text is cut before single spaces, and around single line ends, that stand between two visible
-bytes: the byte-level pre-tokenizer always begins a new piece there, so the ids of the pieces one
-after the other are the ids of the text. Pieces repeat; a worker keeps the ids of those it has met, up to ``KEEP`` of them.
+bytes, and before marks that follow an ASCII letter or digit: the byte-level pre-tokenizer always begins a
+new piece there, so the ids of the pieces one after the other are the ids of the text. Pieces repeat; a worker keeps the ids of those it has met, up to ``KEEP`` of them.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ _AS_TEXT = {b: chr(b) for b in _SHOWN} | {
 
 #: marks that one after the other form one piece
 _MARKS = ".,!?*%&$#|<>;:"
+_ENDS = np.zeros(256, bool)
+_ENDS[48:58] = _ENDS[65:91] = _ENDS[97:123] = True
 
 _coders: dict[str, Coder] = {}
 
@@ -44,6 +46,10 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self._marks: dict[str, list[int]] = {}
         self._plain = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
+        self._mark = np.zeros(256, bool)
+        self._mark[[ord(c) for c in _MARKS]] = True
+        for token in self.tokenizer.get_added_tokens_decoder().values():  # such a token is one piece
+            self._mark[list(token.content.encode())] = False
         self._forget()
 
     def _forget(self) -> None:
@@ -88,6 +94,8 @@ class Coder:
         line = (data[1:-1] == 10) & between
         cut[1:-1] = line | (data[1:-1] == 32) & between
         cut[2:] |= line
+        if self._plain:  # marks never share a piece with the ASCII letter or digit before them
+            cut[1:] |= self._mark[data[1:]] & _ENDS[data[:-1]]
         first = off[:-1][np.diff(off) > 0]
         cut[first] = True
         start = np.flatnonzero(cut)

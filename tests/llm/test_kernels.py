@@ -248,3 +248,30 @@ def test_main_text_without_named_parts(attrs):
     assert main_text(f"<div><p>{LONG}</p></div><div {attrs}><p>{LONG[:60]}</p></div>") == " ".join(LONG.split())
     page = f"<form><header><main><p>{LONG}</p></main></header></form>"
     assert main_text(page) == " ".join(LONG.split())
+
+
+def test_words_are_encoded_once_with_and_without_marks():
+    coder, met = Coder(tokenizer_path()), []
+    plain = coder._encode
+    coder._encode = lambda pieces: met.extend(pieces) or plain(pieces)
+    texts = ["one two two. two, two! two 9 9; don't.x's! a.'s \u00e9.. b.", "two; two?! \u2014. a b.c", None, ""]
+    ids, at = coder.column(pa.array(texts))
+    for i, text in enumerate(texts):
+        want = coder.tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert ids[at[i]:at[i + 1]].tolist() == want
+    assert [p for p in met if p.startswith(" two")] == [" two"]
+
+
+def test_simple8b_takes_the_densest_selector():
+    rng = np.random.default_rng(6)
+    for n in (1, 59, 128, 129, 700):
+        ids = (rng.integers(0, 1 << 32, n) >> rng.choice([0, 1, 12, 20, 28, 31], n)).astype(np.uint32)
+        ids[n // 3:n // 2] = 1
+        want, i = [], 0
+        while i < n:
+            end = min(n, (i // simple8b.BLOCK_IDS + 1) * simple8b.BLOCK_IDS)
+            s, count = next(((s, c) for s, (c, b) in enumerate(simple8b.SELECTORS)
+                             if ids[i:min(i + c, end)].max() < 1 << b), (simple8b.ESCAPE, 1))
+            want.append(s)
+            i = min(i + count, end)
+        assert (simple8b.encode(ids)[0] & np.uint64(15)).tolist() == want
