@@ -30,7 +30,16 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import lookup, stored
-from .text import SPACED, blocks, gram_hashes, pack_sorted, runs, unpack_sorted, word_hashes
+from .text import (
+    SMALL_BLOCK,
+    SPACED,
+    blocks,
+    gram_hashes,
+    pack_sorted,
+    runs,
+    unpack_sorted,
+    word_hashes,
+)
 
 SHINGLE = 5
 #: links have 100 * intersection >= PERCENT * union
@@ -70,7 +79,7 @@ def sets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _marks(batches):
     for batch in batches:
-        for block in blocks(batch, 1):
+        for block in blocks(batch, 1, SMALL_BLOCK):
             row, shingle = sets_of(block.column(1))
             first = np.searchsorted(row, np.arange(block.num_rows + 1)).tolist()
             raw = shingle.astype("<u8").tobytes()
@@ -161,7 +170,7 @@ def _enough(table: pa.Table) -> pa.Table:
 
 def _whole_sets(batches):
     for batch in batches:
-        for block in blocks(batch, 1):
+        for block in blocks(batch, 1, SMALL_BLOCK):
             row, shingle = sets_of(block.column(1))
             first = np.searchsorted(row, np.arange(block.num_rows + 1))
             maps = []

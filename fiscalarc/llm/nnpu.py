@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .text import ALNUM, LOWER, blocks, flat, span_hash, spans
+from .text import ALNUM, LOWER, SMALL_BLOCK, blocks, flat, span_hash, spans
 
 POSITIVES, UNLABELLED = 3000, 5000
 SELECTED = 4096
@@ -63,7 +63,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The texts of the wanted documents, written; of those with the same features one."""
     def run(batches):
         for batch in batches:
-            for block in blocks(batch, 0):
+            for block in blocks(batch, 0, SMALL_BLOCK):
                 key, row = _features_once(block.column(0))
                 first = np.searchsorted(row, np.arange(block.num_rows + 1))
                 yield pa.RecordBatch.from_arrays(
@@ -81,7 +81,7 @@ def _document_counts(texts: DataFrame, name: str) -> DataFrame:
     """Per feature (its hash as a signed number), the number of texts that have it."""
     def run(batches):
         for batch in batches:
-            for block in blocks(batch, 0):
+            for block in blocks(batch, 0, SMALL_BLOCK):
                 key, n = np.unique(_features_once(block.column(0))[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)],
                                                  names=["key", "n"])
@@ -93,7 +93,7 @@ def _columns(texts: DataFrame, keys: np.ndarray) -> list[np.ndarray]:
     """Per text, which of the selected features it has."""
     def run(batches):
         for batch in batches:
-            for block in blocks(batch, 0):
+            for block in blocks(batch, 0, SMALL_BLOCK):
                 key, row = _features_once(block.column(0))
                 near = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
                 hit = keys[near] == key if len(keys) else np.zeros(len(key), bool)
@@ -228,7 +228,7 @@ def score(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for block in blocks(batch, n_keep):
+            for block in blocks(batch, n_keep, SMALL_BLOCK):
                 value = model.score(block.column(n_keep))
                 yield pa.RecordBatch.from_arrays(
                     [*block.columns[:n_keep], pa.array(value),

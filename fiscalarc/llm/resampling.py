@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .ecoc import BUCKETS as TRIPLES
 from .ecoc import gram_index
 from .shared import lookup, stored
-from .text import LOWER, SPACED, blocks, flat, mix, span_hash, spans
+from .text import LOWER, SMALL_BLOCK, SPACED, blocks, flat, mix, span_hash, spans
 
 SHAPES = 1 << 13
 BUCKETS = TRIPLES + SHAPES
@@ -89,7 +89,7 @@ def log_ratio(docs: DataFrame, good: DataFrame) -> np.ndarray:
     def run(batches):
         target, raw = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for block in blocks(batch, 1):
+            for block in blocks(batch, 1, SMALL_BLOCK):
                 key, row = index(block.column(1))
                 is_good = block.column(0).to_numpy(zero_copy_only=False).astype(bool)
                 raw += np.bincount(key, minlength=BUCKETS)
@@ -123,7 +123,7 @@ def weights(docs: DataFrame, ratio: np.ndarray, keep: list[str]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for block in blocks(batch, n_keep):
+            for block in blocks(batch, n_keep, SMALL_BLOCK):
                 key, row = index(block.column(n_keep))
                 n = np.bincount(row, minlength=block.num_rows)
                 total = np.bincount(row, weights=ratio[key], minlength=block.num_rows)

@@ -1,7 +1,7 @@
 """Column-wise text work inside tasks: words, hashes and hash lists of a whole Arrow batch at once.
 
 Everything works on the bytes of a batch, cut into blocks of whole texts, so memory is bounded by
-``BLOCK`` bytes or the longest single text. Hashes are 64-bit and depend on the word alone, never on
+``BLOCK`` bytes (``SMALL_BLOCK`` where nothing but memory depends on it) or the longest single text. Hashes are 64-bit and depend on the word alone, never on
 the task; they name words and shingles, for which two different ones share a hash with a chance of
 about n^2 / 2^65.
 """
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK, SMALL_BLOCK = 1 << 20, 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -61,7 +61,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, BLOCK + 1)
+        size = max(1 << n.bit_length(), 2 * SMALL_BLOCK)
         _powers.clear()
         for base in (_BASE, pow(_BASE, -1, 2**64)):
             a = np.full(size, base, np.uint64)

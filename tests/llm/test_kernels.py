@@ -275,3 +275,13 @@ def test_simple8b_takes_the_densest_selector():
             want.append(s)
             i = min(i + count, end)
         assert (simple8b.encode(ids)[0] & np.uint64(15)).tolist() == want
+
+
+@pytest.mark.parametrize("mapper", [jaccard._marks, jaccard._whole_sets])
+def test_sets_are_made_of_small_blocks(monkeypatch, mapper):
+    whole, sizes = jaccard.sets_of, []
+    monkeypatch.setattr(jaccard, "sets_of", lambda texts: sizes.append(
+        sum(map(len, texts.to_pylist()))) or whole(texts))
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(1000), "text": [f"a{i} b c d e f " * 60 for i in range(1000)]})
+    assert sum(b.num_rows for b in mapper([batch])) == 1000
+    assert max(sizes) <= 1 << 18 and sum(sizes) > 1 << 19
