@@ -49,6 +49,8 @@ RANGE_SHINGLES = 2_000_000
 #: sending a member to a list costs as much as scanning so many members of lists
 SEND = 200
 LIST_BLOCK = 2048
+#: new pairs that a task holds before it thins them out
+EDGES = 1 << 16
 TASK_ROWS = 4_000
 
 
@@ -232,14 +234,42 @@ def slack_sql(n: str) -> str:
     return f"({n} - ({PERCENT} * {n} + 99) div 100)"
 
 
-def _near(table: pa.Table, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of one list, between components, whose bitmaps do not rule a link out."""
+def _least_forest(comp: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Of ``edges`` (member, member, distance) a spanning forest of the components, least distance
+    first and of equal ones the first."""
+    edges = edges[np.argsort(edges[:, 2], kind="stable")]
+    parent = list(range(len(comp)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept, most = [], int(comp.max())
+    for k, (a, b) in enumerate(zip(comp[edges[:, 0]].tolist(), comp[edges[:, 1]].tolist())):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[a] = b
+            kept.append(k)
+            if len(kept) == most:
+                break
+    return edges[kept]
+
+
+def _near(table: pa.Table, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one list, between components, whose bitmaps do not rule a link out.
+
+    For the forest, only about ``EDGES`` pairs are held at once: an edge that the forest of some of
+    the pairs leaves out is in no forest of more of them.
+    """
     doc, n = table["doc"].to_numpy(), table["n"].to_numpy()
     comp, block = table["component"].to_numpy(), table["block"].to_numpy()
     if (comp == comp[0]).all():
-        return []
+        return doc[:0], doc[:0]
     order = np.argsort(n, kind="stable")
     doc, n, comp, block = doc[order], n[order], comp[order], block[order]
+    comp = np.unique(comp, return_inverse=True)[1]
     raw = table["bits"].to_pylist()
     maps = [np.frombuffer(raw[i], "<u8") for i in order.tolist()]
     width = np.array([len(m) for m in maps])
@@ -248,7 +278,7 @@ def _near(table: pa.Table, forest: bool) -> list[tuple[int, int]]:
         stacks[-w] = stacks[w][:, :w // 2] ^ stacks[w][:, w // 2:]
     begin = {w: int(np.flatnonzero(width == w)[0]) for w in stacks if w > 0}
     crosses = (block.min() != block.max())
-    found = []
+    found, held, worst = [np.empty((0, 3), np.int32)], 0, None
     for i in range(len(doc)):
         stop = int(np.searchsorted(n, n[i] * 100 // PERCENT, side="right"))
         for w in (int(width[i]), 2 * int(width[i])):
@@ -259,36 +289,38 @@ def _near(table: pa.Table, forest: bool) -> list[tuple[int, int]]:
             if a >= b:
                 continue
             rows = stacks[w if w == width[i] else -w][a - begin[w]:b - begin[w]]
-            apart = np.bitwise_count(rows ^ maps[i]).sum(1)
+            apart = np.bitwise_count(rows ^ maps[i]).sum(1, dtype=np.int64)
             total = n[i] + n[a:b]
             need = -(-PERCENT * total // (100 + PERCENT))
             good = (apart <= total - 2 * need) & (comp[a:b] != comp[i])
             if crosses:
                 good &= block[a:b] != block[i]
+            if worst is not None:  # all are connected: only a shorter edge still changes the forest
+                good &= apart < worst
             j = np.flatnonzero(good)
-            found.append(np.stack([np.full(len(j), i), j + a, apart[j]], axis=1))
-    if not found:
-        return []
-    found = np.concatenate(found).astype(np.int64)
+            if not len(j):
+                continue
+            found.append(np.stack([np.full(len(j), i), j + a, apart[j]], axis=1).astype(np.int32))
+            held += len(j)
+        if forest and held > EDGES:
+            found, held = [_least_forest(comp, np.concatenate(found))], 0
+            if len(found[0]) == comp.max():
+                worst = int(found[0][-1, 2])
+    pairs = np.concatenate(found)
     if forest:
-        found = found[np.argsort(found[:, 2], kind="stable")]
-        parent = dict(zip(comp.tolist(), comp.tolist()))
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        kept = []
-        for i, j, _ in found.tolist():
-            a, b = root(int(comp[i])), root(int(comp[j]))
-            if a != b:
-                parent[a] = b
-                kept.append((i, j))
-    else:
-        kept = found[:, :2].tolist()
-    return [(int(doc[i]), int(doc[j])) for i, j in kept]
+        pairs = _least_forest(comp, pairs)
+    a, b = doc[pairs[:, 0]], doc[pairs[:, 1]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs once, in order."""
+    a, b = (np.concatenate([np.empty(0, np.int64), *side]) for side in (zip(*pairs) if pairs else ((), ())))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
 
 
 def _candidates(members: DataFrame, forest: bool) -> DataFrame:
@@ -316,11 +348,15 @@ def _candidates(members: DataFrame, forest: bool) -> DataFrame:
         new = np.ones(len(table), bool)
         new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
         edge = np.append(np.flatnonzero(new), len(table))
-        pairs = {(min(p), max(p)) for a, b in zip(edge, edge[1:]) if b - a > 1
-                 for p in _near(table.slice(a, b - a).combine_chunks(), forest)}
-        pairs = sorted(pairs)
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()),
-                         "b": pa.array([p[1] for p in pairs], pa.int64())})
+        pairs, held = [], 0
+        for a, b in zip(edge, edge[1:]):
+            if b - a > 1:
+                pairs.append(_near(table.slice(a, b - a).combine_chunks(), forest))
+                held += len(pairs[-1][0])
+            if held > max(EDGES, len(pairs[0][0])):  # the same pairs meet in many lists
+                pairs, held = [_distinct(pairs)], 0
+        a, b = _distinct(pairs)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return keyed.groupBy("task").applyInArrow(run, "a long, b long").distinct()
 

@@ -61,7 +61,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(1 << n.bit_length(), 2 * SMALL_BLOCK)
+        size = max(n + n // 4, 2 * SMALL_BLOCK)
         _powers.clear()
         for base in (_BASE, pow(_BASE, -1, 2**64)):
             a = np.full(size, base, np.uint64)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -285,3 +286,58 @@ def test_sets_are_made_of_small_blocks(monkeypatch, mapper):
     batch = pa.RecordBatch.from_pydict({"doc_id": range(1000), "text": [f"a{i} b c d e f " * 60 for i in range(1000)]})
     assert sum(b.num_rows for b in mapper([batch])) == 1000
     assert max(sizes) <= 1 << 18 and sum(sizes) > 1 << 19
+
+
+def near_list(n_docs, rng, shingles=150, copies=1):
+    """A list of near copies as ``_near`` gets it: each set lacks a few shingles of the same text."""
+    base, maps, size = rng.integers(0, 2**63, shingles, dtype=np.uint64), [], []
+    for _ in range(n_docs):
+        mine = base[:shingles - int(rng.integers(0, 10))].copy()
+        mine[rng.integers(0, len(mine), 6)] = rng.integers(0, 2**63, 6, dtype=np.uint64)
+        odd = np.bincount((mine % np.uint64(512)).astype(np.int64), minlength=512) & 1
+        maps.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+        size.append(len(mine))
+    return pa.table({"doc": rng.permutation(n_docs), "n": np.array(size), "bits": pa.array(maps, pa.binary()),
+                     "component": np.arange(n_docs) // copies, "block": np.zeros(n_docs, np.int32)})
+
+
+@pytest.mark.parametrize("edges", [1, 37, 1 << 16])
+def test_a_list_gives_the_least_spanning_forest(monkeypatch, edges):
+    monkeypatch.setattr(jaccard, "EDGES", edges, raising=False)
+    for seed in range(4):
+        table = near_list(60, np.random.default_rng(seed), copies=1 + seed % 3)
+        rows = sorted(table.to_pylist(), key=lambda r: r["n"])
+        pairs = []
+        for i, x in enumerate(rows):
+            for y in rows[i + 1:]:
+                apart = (int.from_bytes(x["bits"], "little") ^ int.from_bytes(y["bits"], "little")).bit_count()
+                total = x["n"] + y["n"]
+                need = -(-75 * total // 175)
+                if 75 * y["n"] <= 100 * x["n"] and apart <= total - 2 * need and x["component"] != y["component"]:
+                    pairs.append((apart, len(pairs), x, y))
+        group, forest = {r["component"]: r["component"] for r in rows}, set()
+        for _, _, x, y in sorted(pairs, key=lambda p: p[:2]):
+            a, b = group[x["component"]], group[y["component"]]
+            if a != b:
+                forest.add(tuple(sorted((x["doc"], y["doc"]))))
+                group = {k: a if v == b else v for k, v in group.items()}
+        assert len(forest) > 10
+        for tree, want in ((True, forest), (False, {tuple(sorted((x["doc"], y["doc"]))) for *_, x, y in pairs})):
+            a, b = jaccard._near(table, tree)
+            assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
+
+
+def test_the_forest_of_a_list_holds_few_pairs():
+    table = near_list(800, np.random.default_rng(1))
+    tracemalloc.start()
+    jaccard._near(table, True)
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert most < 25
+
+
+def test_pairs_of_many_lists_come_once():
+    some = np.array([3, 1, 3], np.int64), np.array([4, 2, 4], np.int64)
+    a, b = jaccard._distinct([some, some])
+    assert (a.tolist(), b.tolist()) == ([1, 3], [2, 4])
+    assert [len(x) for x in jaccard._distinct([])] == [0, 0]
