@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalise_label
 from ..scale import small, windowed
-from ..session import cut, freed, stored
+from ..session import cut, dropped, freed
 
 
 def build_graph(parts: list[tuple[DataFrame, str, str, str, str, str, float]]) -> tuple[DataFrame, DataFrame]:
@@ -76,6 +76,40 @@ def subtree_intervals(edges: DataFrame, child: str, parent: str) -> DataFrame:
                                                      (pre + F.col("size") - 1).alias("post"))
 
 
+#: so many pairs of kinds of nodes are looked at, and so many edges are sent to all tasks
+KIND_PAIRS, SENT_EDGES = 200, 100_000
+
+
+def _kind(ident: str) -> Column:
+    return F.substring_index(ident, ":", 1)
+
+
+def _kind_pairs(e: DataFrame) -> set[tuple[str, str]] | None:
+    """The kinds of nodes that edges join, if all ids carry one before a colon and they are few."""
+    ends = ("previous", "node")
+    if any(e.schema[c].dataType.simpleString() != "string" for c in ends) or not e.filter(
+            " OR ".join(f"instr({c}, ':') = 0" for c in ends)).isEmpty():
+        return None
+    pairs = e.select(*[_kind(c).alias(c) for c in ends]).distinct().limit(KIND_PAIRS + 1).collect()
+    return {tuple(r) for r in pairs} if len(pairs) <= KIND_PAIRS else None
+
+
+def _layered(pairs: set[tuple[str, str]] | None) -> bool:
+    """Whether the kinds have levels such that every edge goes one level on. Then all ways between two nodes
+    have one length, and no round meets a node that an earlier one reached from the same start."""
+    level: dict[str, int] = {}
+    todo = list(pairs or ())
+    while todo:
+        a, b = next(((x, y) for x, y in todo if x in level or y in level), todo[0])
+        todo.remove((a, b))
+        if a not in level and b not in level:
+            level[a] = 0
+        level.setdefault(b, level.get(a, 0) + 1)
+        if level.setdefault(a, level[b] - 1) + 1 != level[b]:
+            return False
+    return pairs is not None
+
+
 def lineage_trace(edges: DataFrame, starts: DataFrame, direction: str = "up", paths: bool = False) -> DataFrame:
     """Everything upstream or downstream of the start nodes: (start, node, previous, depth).
 
@@ -84,30 +118,67 @@ def lineage_trace(edges: DataFrame, starts: DataFrame, direction: str = "up", pa
     least number of steps and ``previous`` the node before on a shortest path, the least of several;
     ``lineage_paths`` follows it back to the start. With ``paths`` the rounds carry ``path``, the nodes of
     that path after the start, so that nothing is followed back. The edges are written once.
+
+    Where the ids carry few kinds, a round reads only edges from the kinds it has reached, and if the kinds
+    form layers nothing can be reached twice. As long as every node there has one edge on, a start has one
+    row in each round and none are merged.
     """
     a, b = ("dst", "src") if direction == "up" else ("src", "dst")
-    e = stored(edges.select(F.col(a).alias("previous"), F.col(b).alias("node")).filter(
-        F.col("previous").isNotNull() & F.col("node").isNotNull()).distinct(), "edges")
+    e = freed(edges.select(F.col(a).alias("previous"), F.col(b).alias("node")).filter(
+        F.col("previous").isNotNull() & F.col("node").isNotNull()), "edges")
     kind = e.schema["node"].dataType
-    frontier = stored(starts.select(F.col("id").alias("start"), F.col("id").alias("node"),
-                                    F.lit(None).cast(kind).alias("previous"), F.lit(0).alias("depth")).filter(
-        "node is not null").distinct(), "reached")
-    if paths:
-        frontier = frontier.withColumn("path", F.array().cast(f"array<{kind.simpleString()}>"))
-    kept = ["previous", "path"] if paths else ["previous"]
-    found = [frontier]
-    while True:
-        steps = frontier.select("start", F.col("node").alias("previous"), *kept[1:]).join(e, "previous").groupBy(
-            "start", "node").agg(F.min(F.struct(*kept)).alias("_l")).select("start", "node", "_l.*")
-        if paths:
-            steps = steps.withColumn("path", F.concat("path", F.array("node")))
-        # a node is new unless an earlier round reached it
-        fresh = steps.join(_union(found).select("start", "node"), ["start", "node"], "left_anti")
-        frontier = stored(fresh.select("start", "node", "previous", F.lit(len(found)).alias("depth"), *kept[1:]),
-                          "reached")
+    begin = freed(starts.select(F.col("id").alias("start")).filter("start is not null").distinct(), "reached")
+    # what a round writes besides start and node: the way between them, or its last node
+    kept = "way" if paths else "previous"
+    none = F.array().cast(f"array<{kind.simpleString()}>") if paths else F.lit(None).cast(kind)
+    frontier = begin.select("start", F.col("start").alias("node"), none.alias(kept))
+    pairs = _kind_pairs(e)
+    layered, single, found = _layered(pairs), True, [frontier]
+    if pairs is not None:
+        first = _kind("start").alias("kind")
+        kinds = {r["kind"] for r in begin.select(first).filter(F.col("kind").isin(
+            sorted({x for x, _ in pairs}))).distinct().collect()} if pairs else set()
+    while pairs is None or any(x in kinds for x, _ in pairs):
+        layer = e if pairs is None else e.filter(_kind("previous").isin(sorted(kinds)))
+        here = frontier.select("start", F.col("node").alias("previous"), *([kept] if paths else []))
+        own = ["previous", "way"] if paths else ["previous"]
+        if not paths:
+            way = F.col("previous")
+        elif len(found) == 1:
+            way = none  # the start itself is not on the way
+        else:
+            way = F.concat("way", F.array("previous"))
+        step = None
+        if single and layered:
+            n, nodes = layer.agg(F.count(F.lit(1)), F.approx_count_distinct("previous", 0.02)).first()
+            if n <= 1.1 * nodes:
+                one = layer.groupBy("previous").agg(F.min("node").alias("node"), F.max("node").alias("_other"))
+                step = freed(here.join(F.broadcast(one) if nodes <= SENT_EDGES else one, "previous").select(
+                    "start", "node", way.alias(kept), (F.col("node") < F.col("_other")).alias("_more")), "reached")
+                if not step.filter("_more").isEmpty():
+                    dropped(step)
+                    step = None
+        if step is None:
+            single = False
+            steps = here.join(layer, "previous").groupBy("start", "node").agg(F.min(F.struct(*own)).alias("_l")) \
+                .select("start", "node", "_l.*").select("start", "node", way.alias(kept))
+            # a node is new unless an earlier round reached it
+            step = freed(steps if layered else steps.join(
+                _union(found).select("start", "node"), ["start", "node"], "left_anti"), "reached")
+        frontier = step.select("start", "node", kept)
         if frontier.isEmpty():
-            return _union(found).filter("depth > 0")
+            break
         found.append(frontier)
+        if pairs is not None:
+            kinds = {y for x, y in pairs if x in kinds}
+    traced = []
+    for depth, part in enumerate(found[1:], 1):
+        last = F.col("previous") if not paths else F.col("start") if depth == 1 else F.element_at("way", -1)
+        traced.append(part.select("start", "node", last.alias("previous"), F.lit(depth).alias("depth"), *(
+            [F.concat("way", F.array("node")).alias("path")] if paths else [])))
+    empty = frontier.limit(0).select("start", "node", F.col("node").alias("previous"), F.lit(0).alias("depth"), *(
+        [F.col("way").alias("path")] if paths else []))
+    return _union(traced) if traced else empty
 
 
 def lineage_paths(traced: DataFrame) -> DataFrame:

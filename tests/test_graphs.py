@@ -239,3 +239,32 @@ def test_revisions_reach_everything_below(spark):
                       sum(amount[x] + share[x] for x in mine))
     assert {r["node"]: (r["n_revisions"], round(r["before"] * 100), round(r["after"] * 100)) for r in got} == want
     assert derive.propagate_revision(amounts.limit(0), edges.limit(0), revisions).collect() == []
+
+
+@pytest.mark.parametrize("forks, way", [(0, "up"), (12, "down")])
+def test_lineage_over_kinds_of_nodes(spark, forks, way):
+    """Ids with kinds take the short rounds, the same ids without a colon the general ones."""
+    rng = random.Random(forks)
+    rows = [(f"B:{i % 7}", f"A:{i}") for i in range(40)] + [(f"A:{rng.randrange(40)}", f"C:{i}") for i in range(90)]
+    rows += [(f"C:{i}", f"P:{i}") for i in range(0, 90, 2)] + [("B:1", "A:8"), ("B:8", None), (None, "A:1")]
+    rows += [(f"A:{rng.randrange(40)}", f"C:{rng.randrange(90)}") for _ in range(forks)]
+    for more in ([], [("P:4", "B:1"), ("A:3", "P:8")]):  # layers, then a cycle of kinds and a way past one
+        got = []
+        for mark, paths in ((":", True), ("-", False)):
+            edges = spark.createDataFrame(rows + more, "src string, dst string").select(
+                F.translate("src", ":", mark).alias("src"), F.translate("dst", ":", mark).alias("dst"))
+            starts = spark.createDataFrame([(f"{k}{mark}{i}",) for k in "PBX" for i in range(0, 9, 2)] + [(None,)],
+                                           "id string")
+            out = graph.lineage_paths(graph.lineage_trace(edges, starts, way, paths))
+            got.append(sorted(tuple(str(x).replace("-", ":") for x in r) for r in out.select(
+                "start", "node", "depth", F.array_join("path", "<")).collect()))
+        assert got[0] and got[0] == got[1]
+
+
+def test_lineage_drops_what_its_rounds_shuffled(spark):
+    edges = spark.range(300_000).selectExpr("concat('C:', id) AS src", "concat('P:', id) AS dst").union(
+        spark.range(300_000).selectExpr("concat('A:', id div 4)", "concat('C:', id)"))
+    starts = spark.range(300_000).selectExpr("concat('P:', id) AS id")
+    got = []
+    assert left_behind(spark, lambda: got.append(graph.lineage_trace(edges, starts, paths=True))) < 0.5
+    assert sorted(tuple(r) for r in got[0].groupBy("depth").count().collect()) == [(1, 300_000), (2, 300_000)]
